@@ -43,7 +43,7 @@ N, THRESHOLD = 3, 0.6
 #: Most n-grams whose frequency is told apart, and the least frequency that is.
 HOT_ROWS, HOT_DF = 2_000_000, 16
 #: Cost of comparing two sets, in posting pairs; the prefix extensions tried.
-VERIFY_COST, EXTENSIONS = 24, (1, 2, 3, 4, 6, 8, 12, 16)
+VERIFY_COST, EXTENSIONS = 200, (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 _FLUSH = 4_000_000
 _TOP = np.uint64(16)  # a fingerprint is the upper 40 of an n-gram's 56 bits
 
@@ -100,7 +100,8 @@ def _fingerprints(n: int, ranges: int) -> Callable:
 
 
 def _frequencies(least: int) -> Callable:
-    """Reduce side: how often each fingerprint of a range occurs, if often."""
+    """Reduce side: how often each fingerprint of a range occurs, if often; of
+    the others, how many there are of each frequency (key -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list[np.ndarray]] = {}
@@ -113,35 +114,39 @@ def _frequencies(least: int) -> Callable:
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             df = np.diff(np.append(at, len(key)))
             keep = df >= least
-            yield pa.RecordBatch.from_pydict({"key": key[at[keep]].astype(np.int64), "df": df[keep].astype(np.int64)})
+            yield pa.RecordBatch.from_pydict({"key": key[at[keep]].astype(np.int64), "df": df[keep].astype(np.int64), "n": np.ones(keep.sum(), np.int64)})
+            kinds = np.bincount(df[~keep], minlength=least).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"key": np.full(len(kinds), -1, np.int64), "df": np.arange(len(kinds)), "n": kinds})
 
     return run
 
 
-def _hot(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent fingerprints, sorted, with their document frequencies."""
+def _hot(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """The frequent fingerprints, sorted, with their document frequencies, and
+    how many other documents an occurrence of another fingerprint meets on average."""
     ranges = partitions(docs.sparkSession)
     found = settle(
         docs.mapInArrow(_fingerprints(n, ranges), "part int, first long, steps binary")
         .repartition(ranges, "part")
-        .mapInArrow(_frequencies(HOT_DF), "key long, df long")
+        .mapInArrow(_frequencies(HOT_DF), "key long, df long, n long")
     )
     steps = [HOT_DF << i for i in range(24)]
-    counts = found.agg(*(F.count_if(F.col("df") >= s).alias(str(s)) for s in steps)).first()
-    least = next(s for s in steps if counts[str(s)] <= HOT_ROWS)
+    counts = found.agg(*(F.sum(F.when(F.col("df") >= s, F.col("n")).otherwise(0)).alias(str(s)) for s in steps)).first()
+    least = next(s for s in steps if (counts[str(s)] or 0) <= HOT_ROWS)
+    rare = found.where(F.col("df") < least).agg(F.sum(F.expr("n * df * (df - 1D)")).alias("met"), F.sum(F.expr("n * df")).alias("all")).first()
     rows = found.where(F.col("df") >= least).toArrow().combine_chunks()
     key, df = (rows.column(c).to_numpy() for c in ("key", "df"))
     order = np.argsort(key)
-    return key[order].astype(np.uint64), df[order]
+    return key[order].astype(np.uint64), df[order], (rare["met"] or 0.0) / max(rare["all"] or 0, 1)
 
 
 def _prefixes(n: int, threshold: float, ranges: int, hot: object) -> Callable:
     """Map side of the join: each document's adaptive prefix, in blocks by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_key, hot_df = hot.value
+        hot_key, hot_df, rare = hot.value
         level = np.minimum(np.log2(np.maximum(hot_df, 1)) * 8, 254).astype(np.uint64) + np.uint64(1)
-        df_of_level = np.concatenate([[1.0], 2 ** (np.arange(255) / 8)])
+        df_of_level = np.concatenate([[1.0 + rare], 2 ** (np.arange(255) / 8)])
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
