@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid
+from . import decontam, jaccard, langid, mixing, tokencount, tokens
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +23,21 @@ def _query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+@_query("op1_token_shards")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.shards(table(spark, sf_dir, "documents"))
+
+
 @_query("op2_decontamination")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_query("op5_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 @_query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -36,3 +46,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_ngram_jaccard")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@_query("op8_section_tokens")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.section_tokens(table(spark, sf_dir, "documents"))
