@@ -44,7 +44,7 @@ N, THRESHOLD = 3, 0.6
 HOT_ROWS, HOT_DF = 2_000_000, 16
 #: Cost of comparing two sets, in posting pairs; the prefix extensions tried.
 VERIFY_COST, EXTENSIONS = 200, (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
-_FLUSH = 4_000_000
+_FLUSH = 1_000_000
 _TOP = np.uint64(16)  # a fingerprint is the upper 40 of an n-gram's 56 bits
 
 
@@ -90,7 +90,7 @@ def _fingerprints(n: int, ranges: int) -> Callable:
         for _, value, _ in _sets(batches, n):
             held.append(value >> _TOP)
             size += len(value)
-            if size > _FLUSH:
+            if size > 2 * _FLUSH:
                 yield from flush(held)
                 held, size = [], 0
         if size:
@@ -185,7 +185,7 @@ def _prefixes(n: int, threshold: float, ranges: int, hot: object) -> Callable:
             key = order[pick] & np.uint64((1 << 56) - 1)
             held.append((key >> _TOP, np.repeat(ids, length), np.repeat(size.astype(np.int32), length), np.repeat(need.astype(np.uint8), length)))
             total += len(key)
-            if total > _FLUSH // 2:
+            if total > _FLUSH:
                 total = 0
                 yield from flush()
         if total:
