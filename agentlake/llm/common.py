@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +36,9 @@ def partitions(spark: SparkSession) -> int:
 def identified(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id as a long and the given columns, without rows that have no doc_id."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).where("doc_id IS NOT NULL")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named.rstrip('/')}/tables-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="tables-")

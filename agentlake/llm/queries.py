@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, jaccard, langid, mixing, tokencount, tokens
@@ -51,3 +52,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_section_tokens")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.section_tokens(table(spark, sf_dir, "documents"))
+
+
+@_query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
