@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, mixing, tokencount, tokens
+from . import decontam, jaccard, langid, mixing, tokencount, tokens, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,34 @@ def _query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+_OP3_SQL = r"""
+WITH taken AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages
+), cut AS (
+  SELECT page_id, url,
+    regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '(/index\.html?|/+)$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS parts
+  FROM taken
+), keyed AS (
+  SELECT page_id, url, host || path || CASE WHEN len(parts) > 0 THEN '?' || array_to_string(parts, '&') ELSE '' END AS canonical_url FROM cut
+)
+SELECT page_id, url, canonical_url FROM keyed
+WHERE canonical_url <> '' AND canonical_url IN (SELECT canonical_url FROM keyed WHERE url LIKE '%utm_source=feed%')
+"""
+
+_OP10_SQL = r"""
+WITH p AS (SELECT page_id AS number, coalesce(url, '') AS url, coalesce(html, '') AS html, substr(md5(page_id || '|' || coalesce(url, '')), 1, 2) AS fault FROM pages),
+both_sides AS (
+  SELECT number, fault,
+    sha256(number || E'\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ' || url || E'\r\nContent-Length: ' || strlen(html) || E'\r\n\r\n' || html || E'\r\n\r\n') AS primary_hash,
+    sha256(number || E'\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ' || url || E'\r\nContent-Length: ' || strlen(substr(html, 1, length(html) - 1)) || E'\r\n\r\n' || substr(html, 1, length(html) - 1) || E'\r\n\r\n') AS short_hash
+  FROM p
+)
+SELECT number, primary_hash, CASE WHEN fault = '00' THEN short_hash END AS replica_hash FROM both_sides WHERE fault IN ('00', '01')
+"""
+
+
 @_query("op1_token_shards")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.shards(table(spark, sf_dir, "documents"))
@@ -34,6 +63,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_query("op3_url_filter", _OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that were also syndicated by feed: their canonical URL is that of a page with utm_source=feed."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.matches(pages, pages.where("url LIKE '%utm_source=feed%'").select("url"))
+
+
 @_query("op5_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -57,3 +93,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@_query("op10_warc_fixity", _OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica of all pages with faults put in: some records have lost their last character, some are missing."""
+    records = table(spark, sf_dir, "pages").select(F.col("page_id").alias("number"), "url", F.col("html").alias("payload"))
+    fault = F.substring(F.md5(F.concat(F.col("number").cast("string"), F.lit("|"), F.coalesce("url", F.lit("")))), 1, 2)
+    short = F.expr("substring(payload, 1, length(payload) - 1)")
+    replica = records.where(fault != "01").withColumn("payload", F.when(fault == "00", short).otherwise(F.col("payload")))
+    return warc.audit(records, replica)
