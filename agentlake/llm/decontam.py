@@ -39,9 +39,8 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import identified, small, settle
 
-MAX_EDITS, MIN_WORDS, REPETITIONS, SAMPLED, ITEMS_AT_ONCE = 0.1, 8, 8, 4, 50_000
+MAX_EDITS, MIN_WORDS, REPETITIONS, SAMPLED, ITEMS_AT_ONCE = 0.1, 8, 12, 4, 50_000
 _SEED = 20_240_607
-_FILTER = 1 << 18
 
 
 class Index:
@@ -53,87 +52,77 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         self.limit = [int(max_edits * n + 1e-9) for n in count.tolist()]
+        hashes, begin = _parted(words)
         random = np.random.default_rng(_SEED)
-        self.tables = []
-        for low in sorted({1 << (n.bit_length() - 1) for n in count.tolist() if n >= MIN_WORDS}):
-            of = np.flatnonzero((count >= low) & (count < 2 * low))
-            steps = 2 * low
-            for _ in range(repetitions):
-                places = np.sort(random.choice(steps, size=min(SAMPLED, steps), replace=False))
-                seed = np.uint64(random.integers(1 << 63))
-                rows = _sample(words.hash, words.first[of], words.first[of + 1], places, seed)
-                filters = []
-                for depth in range(len(places)):
-                    bits = np.zeros(_FILTER, bool)
-                    bits[rows[depth] & np.uint64(_FILTER - 1)] = True
+        size = 1 << int(np.clip(64 * max(len(items), 1), 1 << 14, 1 << 22) - 1).bit_length()
+        lows = sorted({1 << (n.bit_length() - 1) for n in count.tolist() if n >= MIN_WORDS})
+        self.repetitions = []
+        for _ in range(repetitions if lows else 0):
+            seed = np.uint64(random.integers(1 << 63))
+            classes = []
+            for low in lows:
+                of = np.flatnonzero((count >= low) & (count < 2 * low))
+                places = np.sort(random.choice(2 * low, size=min(SAMPLED, 2 * low), replace=False)).tolist()
+                at, done, key, filters = begin[of], 0, np.zeros(len(of), np.uint64), []
+                turns = _turns(hashes, seed)
+                for place in places:
+                    at, done = _walk(at, turns, done, place), place
+                    key = tv.mix64(key ^ hashes[at])
+                    bits = np.zeros(size, bool)
+                    bits[key & np.uint64(size - 1)] = True
                     filters.append(bits)
-                key = rows[-1]
                 order = np.argsort(key, kind="stable")
-                self.tables.append((places, seed, filters, key[order], of[order]))
+                classes.append((places, filters, key[order], of[order]))
+            self.repetitions.append((seed, sorted(classes, key=lambda c: c[0][0])))
 
     def candidates(self, words: tv.Words) -> tuple[np.ndarray, np.ndarray]:
         """(first word of the window, number of the item), distinct and sorted."""
-        if not self.tables or not len(words.hash):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        last = words.first[1:][words.doc_of_word()]
-        starts, items = [], []
-        for places, seed, filters, key, item in self.tables:
-            alive, mine = _survivors(words.hash, last, places, seed, filters)
-            low, high = np.searchsorted(key, mine), np.searchsorted(key, mine, side="right")
-            starts.append(np.repeat(alive, high - low))
-            items.append(item[tv.ranges(low, high - low)])
-        pair = np.unique(np.concatenate(starts).astype(np.int64) * len(self.ids) + np.concatenate(items))
-        return pair // len(self.ids), pair % len(self.ids)
-
-
-def _walk(hashes: np.ndarray, at: np.ndarray, last: np.ndarray, turn: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Pointers after the steps a to b-1."""
-    for j in range(a, b):
-        at = at + ((turn[at] >> np.uint64(j & 63)) & np.uint64(1)).astype(at.dtype)
-        np.minimum(at, last, out=at)
-    return at
+        starts, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        hashes, _ = _parted(words)
+        symbol = tv.mix64(hashes)
+        for seed, classes in self.repetitions:
+            turns = _turns(hashes, seed)
+            every, reached = np.arange(len(hashes)), 0
+            for places, filters, table, item in classes:
+                mask = np.uint64(len(filters[0]) - 1)
+                every, reached = _walk(every, turns, reached, places[0]), places[0]
+                alive = np.flatnonzero(filters[0][symbol & mask][every])
+                at, key, done = every[alive], symbol[every[alive]], places[0]
+                for place, bits in zip(places[1:], filters[1:], strict=True):
+                    at, done = _walk(at, turns, done, place), place
+                    key = tv.mix64(key ^ hashes[at])
+                    keep = np.flatnonzero(bits[key & mask])
+                    alive, at, key = alive[keep], at[keep], key[keep]
+                low, high = np.searchsorted(table, key), np.searchsorted(table, key, side="right")
+                starts.append(np.repeat(alive, high - low))
+                items.append(item[tv.ranges(low, high - low)])
+        place = np.concatenate(starts)
+        doc = np.searchsorted(words.first[1:] + np.arange(len(words.first) - 1), place)
+        # A window that begins at a document's end mark begins after its last word.
+        pair = np.unique((place - doc) * max(len(self.ids), 1) + np.concatenate(items))
+        return pair // max(len(self.ids), 1), pair % max(len(self.ids), 1)
+
+
+def _parted(words: tv.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes with a 0 after each document, where a pointer rests; each document's begin."""
+    docs = np.arange(len(words.first) - 1)
+    out = np.zeros(len(words.hash) + len(docs), np.uint64)
+    out[np.arange(len(words.hash)) + words.doc_of_word()] = words.hash
+    return out, words.first[:-1] + docs
 
 
 def _turns(hashes: np.ndarray, seed: np.uint64) -> np.ndarray:
-    """64 random decisions of each word; the place past the end has none to make."""
-    return np.append(tv.mix64(hashes ^ seed), np.uint64(0))
-
-
-def _read(hashes: np.ndarray, at: np.ndarray, last: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The key of the places read so far, with the one at the pointer (0 past the end)."""
-    symbol = np.where(at < last, hashes[np.minimum(at, len(hashes) - 1)], np.uint64(0))
-    return tv.mix64(key ^ symbol)
-
-
-def _sample(hashes: np.ndarray, start: np.ndarray, last: np.ndarray, places: np.ndarray, seed: np.uint64) -> list[np.ndarray]:
-    at, done, key, out, turn = start.astype(np.int64), 0, np.zeros(len(start), np.uint64), [], _turns(hashes, seed)
-    for place in places.tolist():
-        at = _walk(hashes, at, last, turn, done, place)
-        key, done = _read(hashes, at, last, key), place
-        out.append(key)
-    return out
-
-
-def _survivors(hashes: np.ndarray, last: np.ndarray, places: np.ndarray, seed: np.uint64, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows whose sampled places all pass the filters, and their keys."""
-    start = at = np.arange(len(hashes), dtype=np.int32)
-    last = last.astype(np.int32)
-    key, done, turn = np.zeros(1, np.uint64), 0, _turns(hashes, seed)
-    # A word's own value at the first place is the same wherever it is read from.
-    first = filters[0][tv.mix64(hashes) & np.uint64(_FILTER - 1)]
-    first = np.append(first, filters[0][tv.mix64(np.zeros(1, np.uint64)) & np.uint64(_FILTER - 1)])
-    for depth, place in enumerate(places.tolist()):
-        at = _walk(hashes, at, last, turn, done, place)
-        done = place
-        if not depth:
-            keep = np.flatnonzero(np.where(at < last, first[at], first[-1]))
-            start, at, last = start[keep], at[keep], last[keep]
-            key = _read(hashes, at, last, np.zeros(len(at), np.uint64))
-            continue
-        key = _read(hashes, at, last, key)
-        keep = np.flatnonzero(filters[depth][key & np.uint64(_FILTER - 1)])
-        start, at, last, key = start[keep], at[keep], last[keep], key[keep]
-    return start, key
+    """64 random decisions of each word, in 8 rows of bytes; an end mark stays."""
+    bits = tv.mix64(hashes ^ seed)
+    bits[hashes == 0] = 0
+    return np.ascontiguousarray(bits.view(np.uint8).reshape(-1, 8).T)
+
+
+def _walk(at: np.ndarray, turns: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Pointers after the steps a to b-1."""
+    for j in range(a, b):
+        at = at + (turns[j >> 3 & 7][at] >> np.uint8(j & 7) & np.uint8(1))
+    return at
 
 
 def edit_distance(pattern: list[int], text: list[int], limit: int) -> int:
@@ -166,7 +155,7 @@ def _scan(index: object) -> Callable:
         its = index.value
         words = tv.Words(part.column("text").to_pylist())
         start, item = its.candidates(words)
-        doc = np.searchsorted(words.first, start, side="right") - 1
+        doc = np.minimum(np.searchsorted(words.first, start, side="right") - 1, len(words.first) - 2)
         # Neighbouring windows with the same item are one stretch of text to compare.
         order = np.lexsort((start, item, doc))
         start, item, doc = start[order], item[order], doc[order]
@@ -174,7 +163,7 @@ def _scan(index: object) -> Callable:
         new = np.ones(len(start), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] > start[:-1] + reach[:-1])
         at = np.flatnonzero(new)
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(start)], strict=True):
+        for a, b in zip(at.tolist(), np.append(at[1:], len(start))[: len(at)].tolist(), strict=True):
             i, d, limit = int(item[a]), int(doc[a]), its.limit[int(item[a])]
             low = max(int(words.first[d]), int(start[a]) - limit)
             high = min(int(words.first[d + 1]), int(start[b - 1]) + int(reach[b - 1]))
