@@ -97,6 +97,7 @@ class Words:
         joined = " ".join(["" if t is None else t for t in texts]) + " "
         raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         self.codes = lower[raw]
+        self.capital = self.codes != raw
         lengths = np.fromiter((0 if t is None else len(t) for t in texts), dtype=np.int64, count=len(texts))
         self.base = np.concatenate([[0], np.cumsum(lengths + 1)])
         inside = is_word[raw]
