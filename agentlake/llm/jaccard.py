@@ -45,6 +45,8 @@ HOT_ROWS, HOT_DF = 2_000_000, 16
 #: Cost of comparing two sets, in posting pairs; the prefix extensions tried.
 VERIFY_COST, EXTENSIONS = 200, (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 _FLUSH = 1_000_000
+#: Ranges of the hash space for each shuffle partition: what a Python worker holds is one range.
+RANGES = 3
 _TOP = np.uint64(16)  # a fingerprint is the upper 40 of an n-gram's 56 bits
 
 
@@ -110,6 +112,7 @@ def _frequencies(least: int) -> Callable:
                 by_part.setdefault(part, []).append(np.cumsum(_unpack(steps, np.uint64)) + np.uint64(first))
         for held in by_part.values():
             key = np.concatenate(held)
+            held.clear()
             key.sort()
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             df = np.diff(np.append(at, len(key)))
@@ -124,7 +127,7 @@ def _frequencies(least: int) -> Callable:
 def _hot(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, float]:
     """The frequent fingerprints, sorted, with their document frequencies, and
     how many other documents an occurrence of another fingerprint meets on average."""
-    ranges = partitions(docs.sparkSession)
+    ranges = RANGES * partitions(docs.sparkSession)
     found = settle(
         docs.mapInArrow(_fingerprints(n, ranges), "part int, first long, steps binary")
         .repartition(ranges, "part")
@@ -212,6 +215,7 @@ def _candidates(threshold: float) -> Callable:
                 by_part.setdefault(part, []).append((np.cumsum(block[0]), *block[1:]))
         for held in by_part.values():
             key, doc, size, need = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.lexsort((size, key))
             key, doc, size, need = key[order], doc[order], size[order], need[order]
             # Within a list sorted by size, the partners of a row are a run that begins just after it.
@@ -304,7 +308,7 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     other copy; other pairs are between such lowest doc_ids.
     """
     spark = docs.sparkSession
-    ranges = partitions(spark)
+    ranges = RANGES * partitions(spark)
     plain = identified(docs, "text").where("text IS NOT NULL AND text != ''")
     copies = (
         plain.select("doc_id", F.md5("text").alias("sum"), F.length("text").alias("chars"))
