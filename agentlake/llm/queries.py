@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, mixing, tokencount, tokens, toxicity, urlfilter, warc
+from . import decontam, jaccard, langid, mixing, tokencount, tokens, toxicity, urlfilter, vectordedup, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = F.expr("substring(payload, 1, length(payload) - 1)")
     replica = records.where(fault != "01").withColumn("payload", F.when(fault == "00", short).otherwise(F.col("payload")))
     return warc.audit(records, replica)
+
+
+@_query("op9_embedding_near_copies")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordedup.near_pairs(table(spark, sf_dir, "embeddings"))
