@@ -46,7 +46,7 @@ HOT_ROWS, HOT_DF = 2_000_000, 16
 VERIFY_COST, EXTENSIONS = 200, (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 _FLUSH = 1_000_000
 #: Ranges of the hash space for each shuffle partition: what a Python worker holds is one range.
-RANGES = 3
+RANGES = 2
 _TOP = np.uint64(16)  # a fingerprint is the upper 40 of an n-gram's 56 bits
 
 
