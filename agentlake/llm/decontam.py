@@ -203,5 +203,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, repetitions: int = REPETITIONS) -> DataFrame:
     """The rows of docs in which no item is found; rows without doc_id stay."""
-    hit = settle(contaminated(docs, benchmark, max_edits, repetitions).select(F.col("doc_id").alias("hit")).distinct())
-    return docs.join(small(hit), F.col("doc_id") == F.col("hit"), "left_anti")
+    hit = settle(contaminated(docs, benchmark, max_edits, repetitions).select(F.col("doc_id").alias("__leak_hit")).distinct())
+    return docs.join(small(hit), F.col("doc_id") == F.col("__leak_hit"), "left_anti")

@@ -368,12 +368,12 @@ def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
     without doc_id stay.
     """
     found = groups(jaccard_join(docs, n, threshold))
-    gone = settle(found.where("doc_id != group").select(F.col("doc_id").alias("gone")))
-    kept = docs.join(small(gone), F.col("doc_id") == F.col("gone"), "left_anti")
-    again = settle(identified(docs).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")))
+    gone = settle(found.where("doc_id != group").select(F.col("doc_id").alias("__near_gone")))
+    kept = docs.join(small(gone), F.col("doc_id") == F.col("__near_gone"), "left_anti")
+    again = settle(identified(docs).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__near_again")))
     if not again.limit(1).count():
         return kept
-    once = kept.join(small(again), F.col("doc_id") == F.col("again"), "left_semi")
+    once = kept.join(small(again), F.col("doc_id") == F.col("__near_again"), "left_semi")
     least = once.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull(), *(c for c in docs.columns if c != "doc_id"))).alias("row"))
     once = least.select(*(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns))
-    return kept.join(small(again), F.col("doc_id") == F.col("again"), "left_anti").unionByName(once)
+    return kept.join(small(again), F.col("doc_id") == F.col("__near_again"), "left_anti").unionByName(once)

@@ -11,7 +11,7 @@ applied to any number of blocks by a join on the place within the period.
 The mix is as long as it takes until every source has been used once, sources
 with a large weight for their size being repeated (epochs), but no longer than
 MAX_EPOCHS repetitions of any source.  Without given weights, a source's weight
-is its number of characters to the power TEMPERATURE.
+is its number of blocks to the power TEMPERATURE.
 
 Block numbers come from prefix sums in two levels (within a bucket, and over
 the bucket totals), so that no task holds a whole source.  Only the period's
@@ -73,19 +73,19 @@ def schedule(slots: dict[str, int]) -> list[tuple[str, int]]:
 
 
 def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """docs with the columns _source, _epoch, _block, _slot, _at (order within the slot)."""
+    """docs with the columns __mix_source, __mix_epoch, __mix_block, __mix_slot, __mix_at (order within the slot)."""
     spark = docs.sparkSession
     length = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     sizes = docs.select(source.alias("source"), length.alias("chars")).groupBy("source").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()
     blocks = {r["source"]: max(1, -(-r["chars"] // block_chars)) for r in sizes}
-    given = weights if weights is not None else {r["source"]: max(1, r["chars"]) ** TEMPERATURE for r in sizes}
+    given = weights if weights is not None else {s: n**TEMPERATURE for s, n in blocks.items()}
     given = {s: w for s, w in given.items() if s in blocks and w > 0}
     buckets = max(1, -(-max((r["n"] for r in sizes), default=0) // BUCKET_ROWS))
     hashed = F.xxhash64("doc_id", F.lit(seed))
-    rows = docs.withColumns({"_source": source, "_chars": length, "_hash": hashed, "_bucket": F.pmod(F.shiftrightunsigned(hashed, 8), F.lit(buckets)).cast("int")})
+    rows = docs.withColumns({"__mix_source": source, "__mix_chars": length, "__mix_hash": hashed, "__mix_bucket": F.pmod(F.shiftrightunsigned(hashed, 8), F.lit(buckets)).cast("int")})
     if not given:
-        return rows.where("false").drop("_chars", "_hash", "_bucket").selectExpr("*", "0L AS _epoch", "0L AS _block", "0L AS _slot", "0L AS _at")
+        return rows.where("false").drop("__mix_chars", "__mix_hash", "__mix_bucket").selectExpr("*", "0L AS __mix_epoch", "0L AS __mix_block", "0L AS __mix_slot", "0L AS __mix_at")
     slots = quantise(given, period)
     order = schedule(slots)
     whole = len(order)
@@ -94,28 +94,28 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_chars
     for t, (s, _) in enumerate(order):
         counts[s] += t < until % whole
     per_source = [(s, slots[s], blocks[s], until // whole * slots[s] + counts[s]) for s in slots]
-    sources = F.broadcast(spark.createDataFrame(per_source, "_source string, _slots long, _blocks long, _take long"))
-    places = F.broadcast(spark.createDataFrame([(s, i, t) for t, (s, i) in enumerate(order)], "_source string, _turn long, _place long"))
+    sources = F.broadcast(spark.createDataFrame(per_source, "__mix_source string, __mix_slots long, __mix_blocks long, __mix_take long"))
+    places = F.broadcast(spark.createDataFrame([(s, i, t) for t, (s, i) in enumerate(order)], "__mix_source string, __mix_turn long, __mix_place long"))
 
-    totals = docs.select(source.alias("_source"), F.pmod(F.shiftrightunsigned(hashed, 8), F.lit(buckets)).cast("int").alias("_bucket"), length.alias("c")).groupBy("_source", "_bucket").agg(F.sum("c").alias("c"))
-    offsets = totals.select("_source", "_bucket", F.coalesce(F.sum("c").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    inner = Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("_chars").over(inner), F.lit(0)))
-    rows = rows.join(offsets, ["_source", "_bucket"]).withColumn("_at", F.col("_offset") + F.col("_before"))
-    rows = rows.join(sources, "_source").withColumn("_block", F.least(F.expr(f"_at div {block_chars}"), F.col("_blocks") - 1))
-    rows = rows.where("_block < _take").withColumn("_epoch", F.explode(F.expr("sequence(0L, (_take - 1 - _block) div _blocks)")))
-    rows = rows.withColumn("_number", F.expr("_epoch * _blocks + _block")).withColumn("_turn", F.expr("_number % _slots"))
-    rows = rows.join(places, ["_source", "_turn"]).withColumn("_slot", F.expr(f"(_number div _slots) * {whole} + _place"))
-    return rows.select(*(F.col(c) for c in docs.columns), "_source", "_epoch", "_block", "_slot", "_at")
+    totals = docs.select(source.alias("__mix_source"), F.pmod(F.shiftrightunsigned(hashed, 8), F.lit(buckets)).cast("int").alias("__mix_bucket"), length.alias("c")).groupBy("__mix_source", "__mix_bucket").agg(F.sum("c").alias("c"))
+    offsets = totals.select("__mix_source", "__mix_bucket", F.coalesce(F.sum("c").over(Window.partitionBy("__mix_source").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__mix_offset"))
+    inner = Window.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_hash", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__mix_before", F.coalesce(F.sum("__mix_chars").over(inner), F.lit(0)))
+    rows = rows.join(offsets, ["__mix_source", "__mix_bucket"]).withColumn("__mix_at", F.col("__mix_offset") + F.col("__mix_before"))
+    rows = rows.join(sources, "__mix_source").withColumn("__mix_block", F.least(F.expr(f"__mix_at div {block_chars}"), F.col("__mix_blocks") - 1))
+    rows = rows.where("__mix_block < __mix_take").withColumn("__mix_epoch", F.explode(F.expr("sequence(0L, (__mix_take - 1 - __mix_block) div __mix_blocks)")))
+    rows = rows.withColumn("__mix_number", F.expr("__mix_epoch * __mix_blocks + __mix_block")).withColumn("__mix_turn", F.expr("__mix_number % __mix_slots"))
+    rows = rows.join(places, ["__mix_source", "__mix_turn"]).withColumn("__mix_slot", F.expr(f"(__mix_number div __mix_slots) * {whole} + __mix_place"))
+    return rows.select(*(F.col(c) for c in docs.columns), "__mix_source", "__mix_epoch", "__mix_block", "__mix_slot", "__mix_at")
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """(doc_id, source, epoch, block, slot) of every placing of a document."""
     found = placed(docs.select("doc_id", "source", "text"), **options)
-    return found.select("doc_id", F.col("_source").alias("source"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_slot").alias("slot"))
+    return found.select("doc_id", F.col("__mix_source").alias("source"), F.col("__mix_epoch").alias("epoch"), F.col("__mix_block").alias("block"), F.col("__mix_slot").alias("slot"))
 
 
 def interleave(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of docs in the order of the mix, a row as often as it is placed."""
     found = placed(docs, **options)
-    return found.repartitionByRange(partitions(docs.sparkSession), "_slot", "_at").sortWithinPartitions("_slot", "_at", "doc_id").select(*docs.columns)
+    return found.repartitionByRange(partitions(docs.sparkSession), "__mix_slot", "__mix_at").sortWithinPartitions("__mix_slot", "__mix_at", "doc_id").select(*docs.columns)

@@ -58,35 +58,35 @@ def _masks(key: Column) -> list[Column]:
 def bloom(listed: DataFrame) -> tuple[DataFrame, int]:
     """(rows _block, _w0.._w3; number of blocks) for the distinct keys in column ``_key``."""
     blocks = max(1, -(-listed.count() // KEYS_PER_BLOCK))
-    masks = _masks(F.col("_key"))
-    rows = listed.select(_block(F.col("_key"), blocks).alias("_block"), *(m.alias(f"_w{i}") for i, m in enumerate(masks)))
-    return rows.groupBy("_block").agg(*(F.bit_or(f"_w{i}").alias(f"_w{i}") for i in range(4))), blocks
+    masks = _masks(F.col("__url_key"))
+    rows = listed.select(_block(F.col("__url_key"), blocks).alias("__url_block"), *(m.alias(f"__url_w{i}") for i, m in enumerate(masks)))
+    return rows.groupBy("__url_block").agg(*(F.bit_or(f"__url_w{i}").alias(f"__url_w{i}") for i in range(4))), blocks
 
 
 def _passing(pages: DataFrame, listed: DataFrame, max_blocks: int) -> DataFrame:
     """pages with ``_key``, less those that the filter excludes."""
-    keyed = pages.withColumn("_key", canonical(F.col("url"))).where("_key != ''")
+    keyed = pages.withColumn("__url_key", canonical(F.col("url"))).where("__url_key != ''")
     blocks_frame, blocks = bloom(listed)
     if blocks > max_blocks:
         return keyed
-    hashed = keyed.withColumns({"_block": _block(F.col("_key"), blocks), **{f"_m{i}": m for i, m in enumerate(_masks(F.col("_key")))}})
-    hit = " AND ".join(f"_w{i} & _m{i} = _m{i}" for i in range(4))
-    return hashed.join(F.broadcast(blocks_frame), "_block").where(hit).select(*keyed.columns)
+    hashed = keyed.withColumns({"__url_block": _block(F.col("__url_key"), blocks), **{f"__url_m{i}": m for i, m in enumerate(_masks(F.col("__url_key")))}})
+    hit = " AND ".join(f"__url_w{i} & __url_m{i} = __url_m{i}" for i in range(4))
+    return hashed.join(F.broadcast(blocks_frame), "__url_block").where(hit).select(*keyed.columns)
 
 
 def listing(urls: DataFrame) -> DataFrame:
     """The distinct canonical forms of column ``url``, as ``_key``."""
-    return settle(urls.select(canonical(F.col("url")).alias("_key")).where("_key != ''").distinct())
+    return settle(urls.select(canonical(F.col("url")).alias("__url_key")).where("__url_key != ''").distinct())
 
 
 def matches(pages: DataFrame, urls: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """The rows of pages whose canonical URL is listed, with it as ``canonical_url``."""
     listed = listing(urls)
-    found = _passing(pages, listed, max_blocks).join(listed, "_key", "left_semi")
-    return found.select(*(F.col(f"`{c}`") for c in pages.columns if c != "canonical_url"), F.col("_key").alias("canonical_url"))
+    found = _passing(pages, listed, max_blocks).join(listed, "__url_key", "left_semi")
+    return found.select(*(F.col(f"`{c}`") for c in pages.columns if c != "canonical_url"), F.col("__url_key").alias("canonical_url"))
 
 
 def drop_listed(pages: DataFrame, urls: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """The rows of pages whose canonical URL is not listed; page_id tells pages apart."""
-    gone = matches(pages.select("page_id", "url"), urls, max_blocks).select(F.col("page_id").alias("_gone")).distinct()
-    return pages.join(gone, F.col("page_id") == F.col("_gone"), "left_anti")
+    gone = matches(pages.select("page_id", "url"), urls, max_blocks).select(F.col("page_id").alias("__url_gone")).distinct()
+    return pages.join(gone, F.col("page_id") == F.col("__url_gone"), "left_anti")
