@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.porter import stem
 from ..functions.text import words
@@ -20,7 +21,7 @@ K1, B, RECENCY = 1.2, 0.75, 30 * 86_400_000
 WEIGHTS = {"sparse": 0.5, "dense": 0.3, "recency": 0.2}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _stems(words_: pd.Series) -> pd.Series:
     return words_.map(stem, na_action="ignore")
 

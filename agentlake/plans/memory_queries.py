@@ -268,10 +268,10 @@ def rank_ndcg(spark: SparkSession, d: str) -> DataFrame:
     return _r(ranking.ndcg(I.lists(spark, d).where("list_no = 0"), judged, ["query_id"]), "ndcg")
 
 
-@query("rank_explain", f"""WITH {I.RANKED} SELECT role, item_id, printf('Score: %.4f | Recency: %.4f', score * 0.7, score / 3) AS text FROM ranked""")
+@query("rank_explain", f"""WITH {I.RANKED} SELECT role, item_id, printf('Score: %.4f | Recency: %.4f', score * 0.7 + 0.00001, score / 3) AS text FROM ranked""")
 def rank_explain(spark: SparkSession, d: str) -> DataFrame:
     rows = I.ranked(spark, d)
-    return rows.select("role", "item_id", ranking.explain(F.col("score") * 0.7, F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("score") / 3).alias("text"))
+    return rows.select("role", "item_id", ranking.explain(F.col("score") * 0.7 + 0.00001, F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("score") / 3).alias("text"))
 
 
 @query("rank_best_across_queries")
