@@ -119,6 +119,10 @@ class EmbeddingGenerator:
         def embed(texts: pd.Series) -> pd.Series:
             if not truncate and (texts.str.len() > max_length).any():
                 raise ValueError("a text is too long")
-            return pd.Series(chosen.embed([(t or "")[:max_length] for t in texts]))
+            rows = np.array(chosen.embed([(t or "")[:max_length] for t in texts]), dtype=np.float64).reshape(len(texts), -1)
+            if normalised:
+                norm = np.linalg.norm(rows, axis=1, keepdims=True)
+                rows = np.where(norm > 0, rows / np.where(norm > 0, norm, 1), rows)
+            return pd.Series(rows.tolist())
 
-        return normalise(embed(text)) if normalised else embed(text)
+        return embed(text)
