@@ -118,6 +118,8 @@ def _frequencies(least: int) -> Callable:
             df = np.diff(np.append(at, len(key)))
             keep = df >= least
             yield pa.RecordBatch.from_pydict({"key": key[at[keep]].astype(np.int64), "df": df[keep].astype(np.int64), "n": np.ones(keep.sum(), np.int64)})
+            del key
+            tv.release()
             kinds = np.bincount(df[~keep], minlength=least).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"key": np.full(len(kinds), -1, np.int64), "df": np.arange(len(kinds)), "n": kinds})
 
@@ -214,6 +216,7 @@ def _candidates(threshold: float) -> Callable:
                 block = tuple(_unpack(raw, kind) for raw, kind in zip(x, (np.uint64, np.int64, np.int32, np.uint8), strict=True))
                 by_part.setdefault(part, []).append((np.cumsum(block[0]), *block[1:]))
         for held in by_part.values():
+            tv.release()
             key, doc, size, need = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.lexsort((size, key))
@@ -297,6 +300,7 @@ def _verify(n: int, threshold: float) -> Callable:
                     pairs.setdefault(a, []).append(b)
         if texts:
             yield from compare(texts, pairs)
+        tv.release()
 
     return run
 

@@ -10,6 +10,7 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import sys
 import unicodedata
@@ -166,6 +167,18 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+@functools.cache
+def _trim() -> object:
+    library = ctypes.CDLL(None)
+    return library.malloc_trim if hasattr(library, "malloc_trim") else lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back: a worker lives through many tasks, and the C library keeps what arrays of changing sizes leave."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a batch so that its texts have about BATCH_CHARS characters at most."""
     if not batch.num_rows:
@@ -176,6 +189,7 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         yield batch.slice(int(a), int(b - a))
+    release()
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
