@@ -307,12 +307,12 @@ def estimate_message_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query("assemble_relevant")
 def assemble_relevant(spark: SparkSession, d: str) -> DataFrame:
-    return assembly.assemble(I.messages(spark, d), "relevant", 500, I.AS_OF, 1, "the that", stemmed=False)
+    return assembly.assemble(I.messages(spark, d), "relevant", 500, I.AS_OF, 98, "the that", stemmed=False)
 
 
 @query("assemble_hybrid")
 def assemble_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    return assembly.assemble(I.messages(spark, d), "hybrid", 500, I.AS_OF, 1, "the that", stemmed=False)
+    return assembly.assemble(I.messages(spark, d), "hybrid", 500, I.AS_OF, 98, "the that", stemmed=False)
 
 
 @query("conversation_summary", f"""WITH {I.MESSAGES}, b AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence_num DESC) AS back FROM messages)
