@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import squeeze, trim_all
 
-NAME = r"([A-Z][a-z]+(?:\s[A-Z][a-z]+)?)"
-CLAUSE = r"([^.!?\n]+)"
+NAME = r"((?:[A-Z][a-z]+\s)?[A-Z][a-z]+)"
+CLAUSE = r"([^\n.!?]+)"
 TYPES = ("person", "decision", "action", "question", "topic", "project")
 #: type, confidence, regular expression, group, how the match is shaped
 PATTERNS: list[tuple[str, float, str, int, str]] = [
@@ -24,15 +24,15 @@ PATTERNS: list[tuple[str, float, str, int, str]] = [
     ("decision", 0.90, rf"(?i)(?:resolution|decision):\s*{CLAUSE}", 1, "clip"),
     ("decision", 0.80, rf"(?i)(?:picked|selected|chose)\s+{CLAUSE}", 1, "clip"),
     ("action", 0.90, rf"(?i)(?:need to|have to|action item|must|should|todo)\s*:?\s*{CLAUSE}", 1, "clip"),
-    ("action", 0.95, r"\[\s*\]\s*([^\[\n]+)", 1, "clip"),
-    ("action", 0.70, r"(?i)(?:plan to|will|going to)\s+([\w\s]{5,50})(?:\.|,|\z)", 1, "trim"),
-    ("question", 0.95, r"(?m)^([^?\n]{10,}?\?)", 1, "trim"),
-    ("question", 0.90, r"(?i)(?:which|who|where|when|why|how|what|should|would|could|can)\s+([^?\n]+?\?)", 0, "trim"),
+    ("action", 0.95, r"[\[]\s*\]\s*([^\n\[]+)", 1, "clip"),
+    ("action", 0.70, r"(?i)(?:plan to|will|going to)\s+([\s\w]{5,50})(?:[.,]|\z)", 1, "trim"),
+    ("question", 0.95, r"(?m)^([^\n?]{10,}?[?])", 1, "trim"),
+    ("question", 0.90, r"(?i)(?:which|who|where|when|why|how|what|should|would|could|can)\s+([^\n?]+?[?])", 0, "trim"),
     ("topic", 0.90, r"#(\w+)", 1, ""),
     ("topic", 0.75, r"(?i)\b(database|deployment|testing|authentication|authorization|GraphQL|REST|API|DevOps|CI/CD)\b", 1, "lower"),
-    ("topic", 0.70, r"(?i)(?:related to|concerning|regarding|about)\s+([a-z]+(?:\s[a-z]+){0,2})", 1, "lower"),
-    ("project", 0.85, r"(?i)(?:milestone|release|sprint|initiative|project)\s+([A-Z][\w-]+(?:\s[A-Z][\w-]+)?)", 1, ""),
-    ("project", 0.90, r"(?:^|\s)([A-Z]{2,}-\d+)(?:\s|\z)", 1, ""),
+    ("topic", 0.70, r"(?i)(?:related to|concerning|regarding|about)\s+((?:[a-z]+\s){0,2}[a-z]+)", 1, "lower"),
+    ("project", 0.85, r"(?i)(?:milestone|release|sprint|initiative|project)\s+((?:[A-Z][\w-]+\s)?[A-Z][\w-]+)", 1, ""),
+    ("project", 0.90, r"(?:\s|^)([A-Z][A-Z]+-[0-9]+)(?:\z|\s)", 1, ""),
 ]
 NOISE = set("a an the i it he she we they you this that these those is be are was were been do did does has had have if or and but else then".split())
 NOISE_OF = {"person": {"admin", "assistant", "bot", "system", "user"}, "topic": {"issue", "problem", "stuff", "thing"}}

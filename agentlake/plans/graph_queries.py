@@ -304,7 +304,7 @@ def queue_enqueue(spark: SparkSession, d: str) -> DataFrame:
     return queues.enqueue(I.tasks(spark, d), new).select("key", "priority", "status")
 
 
-@query("queue_next_batch", f"WITH {I.TASKS} SELECT * FROM tasks WHERE status = 'pending' AND attempts < 3 ORDER BY CASE priority WHEN 'urgent' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END, created_at, task_id LIMIT 50")
+@query("queue_next_batch", f"WITH {I.TASKS} SELECT * FROM tasks WHERE status = 'pending' AND attempts < 3 ORDER BY coalesce(list_position(['urgent', 'normal'], priority), 3), created_at, task_id LIMIT 50")
 def queue_next_batch(spark: SparkSession, d: str) -> DataFrame:
     return queues.next_batch(I.tasks(spark, d))
 
