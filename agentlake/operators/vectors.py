@@ -57,20 +57,23 @@ def _nearest(sent: object, k: int, key: str) -> Callable:
     return run
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id") -> DataFrame:
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", at_once: int = 50_000) -> DataFrame:
     """(query_id, found_id, distance, rank) for many queries at once, a query never finding itself.
 
-    The queries (a checked number of them) go to every partition, which returns its
-    k best for each; so k rows a query and partition are shuffled, not vectors.
+    About ``at_once`` queries go to every partition, which returns its k best for each;
+    so k rows a query and partition are shuffled, not vectors.  More queries are searched
+    in slices, a scan each.
     """
-    rows = queries.select(key, "embedding").limit(100_001).toArrow().combine_chunks()
-    if rows.num_rows > 100_000:
-        raise ValueError("search in slices of at most 100,000 queries")
-    if not rows.num_rows:
-        return vectors.sparkSession.createDataFrame([], "query_id long, found_id long, distance double, rank int")
-    q = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
-    sent = vectors.sparkSession.sparkContext.broadcast((rows.column(key).to_numpy(), q))
-    best = vectors.select(F.col(key).cast("long").alias(key), "embedding").mapInArrow(_nearest(sent, k, key), "query_id long, found_id long, distance double")
+    slices = max(1, -(-queries.count() // at_once))
+    own = vectors.select(F.col(key).cast("long").alias(key), "embedding")
+    best = vectors.sparkSession.createDataFrame([], "query_id long, found_id long, distance double")
+    for i in range(slices):
+        part = queries.where(F.pmod(F.xxhash64(key), F.lit(slices)) == i) if slices > 1 else queries
+        rows = part.select(key, "embedding").toArrow().combine_chunks()
+        if rows.num_rows:
+            q = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
+            sent = vectors.sparkSession.sparkContext.broadcast((rows.column(key).to_numpy(), q))
+            best = best.unionByName(own.mapInArrow(_nearest(sent, k, key), "query_id long, found_id long, distance double"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "found_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k)
 
