@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import settle
+
+__all__ = ["BROADCAST_IDS", "identified", "partitions", "settle", "shared_folder", "small", "table"]
+
 #: Rows of ids that may be sent to every executor (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -16,14 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that the cluster names; sets one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
     """A settled frame, marked for broadcast if it has that many rows at most."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
