@@ -134,5 +134,5 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
 def test_every_operator_has_its_query():
     assert {q.split("_")[0] for q in llm_queries.QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
-    assert set(llm_queries.ORACLE) == {"op3_url_filter", "op10_warc_fixity"}
+    assert set(llm_queries.ORACLE) == {"op3_url_filter", "op7_ngram_jaccard", "op10_warc_fixity"}
     assert jaccard.THRESHOLD and langid.FIT_DOCS
