@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import settle
 
-__all__ = ["BROADCAST_IDS", "identified", "partitions", "settle", "shared_folder", "small", "table"]
+__all__ = ["BROADCAST_IDS", "identified", "in_small_batches", "partitions", "settle", "shared_folder", "small", "table"]
 
 #: Rows of ids that may be sent to every executor (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 4_000_000
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +30,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts go to Python BATCH_BYTES at a time: by rows alone, long texts fill the memory of both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def identified(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id as a long and the given columns, without rows that have no doc_id."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).where("doc_id IS NOT NULL")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *columns).where("doc_id IS NOT NULL")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import textvec as tv
+from .common import in_small_batches
 
 SHARD_TOKENS = 1 << 20
 _EVERY = 64
@@ -126,7 +127,7 @@ def _shards(vocabulary: str, shard_tokens: int) -> Callable:
 
 def shards(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Token-id shards of all documents (see SCHEMA)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_shards(vocabulary, shard_tokens), SCHEMA)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_shards(vocabulary, shard_tokens), SCHEMA)
 
 
 def documents_of(row: object) -> list[tuple[int | None, np.ndarray]]:
