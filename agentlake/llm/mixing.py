@@ -8,10 +8,19 @@ block away from its share.  Weights are fractions of a whole number of slots, so
 the schedule repeats after that period: it is simulated once over the period and
 applied to any number of blocks by a join on the place within the period.
 
-The mix is as long as it takes until every source has been used once, sources
-with a large weight for their size being repeated (epochs), but no longer than
-MAX_EPOCHS repetitions of any source.  Without given weights, a source's weight
-is its number of blocks to the power TEMPERATURE.
+A complete mix is as long as it takes until every source has been used once.
+Sources with a large weight for their size are repeated (epochs), MAX_EPOCHS
+times at most: beyond that their own weight is lowered, and the mix goes on for
+the others.  Its period is a whole fraction of the mix, in which each source has
+its blocks over the number of periods, rounded up; a source's blocks are spread
+evenly over the places that it has in all periods, so that a source of one block
+has one place in the whole mix, and a few slots stay empty (none if one period
+is all).  Each source is then less than two blocks away from its share.
+
+Without given weights the mix is complete, and a source's weight is its number
+of blocks to the power TEMPERATURE.  Given weights are held to the end: unless
+``complete=True`` is asked for, the mix then ends where the first source has been
+repeated MAX_EPOCHS times, and blocks of others may be left out.
 
 Block numbers come from prefix sums in two levels (within a bucket, and over
 the bucket totals), so that no task holds a whole source.  Only the period's
@@ -72,7 +81,13 @@ def schedule(slots: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def lengths(blocks: dict[str, int], weights: dict[str, float], max_epochs: int) -> dict[str, int]:
+    """Blocks of each source in a mix that uses all of every source: once at least, max_epochs times at most."""
+    scale = max(blocks[s] / w for s, w in weights.items())
+    return {s: min(max_epochs * blocks[s], max(blocks[s], round(scale * w))) for s, w in weights.items()}
+
+
+def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD, max_epochs: int = MAX_EPOCHS, seed: int = SEED, complete: bool | None = None) -> DataFrame:
     """docs with the columns __mix_source, __mix_epoch, __mix_block, __mix_slot, __mix_at (order within the slot)."""
     spark = docs.sparkSession
     length = F.coalesce(F.length("text"), F.lit(0)).cast("long")
@@ -86,15 +101,23 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_chars
     rows = docs.withColumns({"__mix_source": source, "__mix_chars": length, "__mix_hash": hashed, "__mix_bucket": F.pmod(F.shiftrightunsigned(hashed, 8), F.lit(buckets)).cast("int")})
     if not given:
         return rows.where("false").drop("__mix_chars", "__mix_hash", "__mix_bucket").selectExpr("*", "0L AS __mix_epoch", "0L AS __mix_block", "0L AS __mix_slot", "0L AS __mix_at")
-    slots = quantise(given, period)
-    order = schedule(slots)
-    whole = len(order)
-    until = min(max(-(-blocks[s] * whole // slots[s]) for s in slots), min(max_epochs * blocks[s] * whole // slots[s] for s in slots))
-    counts = dict.fromkeys(slots, 0)
-    for t, (s, _) in enumerate(order):
-        counts[s] += t < until % whole
-    per_source = [(s, slots[s], blocks[s], until // whole * slots[s] + counts[s]) for s in slots]
-    sources = F.broadcast(spark.createDataFrame(per_source, "__mix_source string, __mix_slots long, __mix_blocks long, __mix_take long"))
+    if complete or (complete is None and weights is None):
+        take = lengths(blocks, given, max_epochs)
+        periods = -(-sum(take.values()) // max(period, 20 * len(take)))
+        slots = {s: -(-n // periods) for s, n in take.items()}
+        order = schedule(slots)
+        whole, room = len(order), {s: n * periods for s, n in slots.items()}
+    else:
+        slots = quantise(given, period)
+        order = schedule(slots)
+        whole = len(order)
+        until = min(max(-(-blocks[s] * whole // slots[s]) for s in slots), min(max_epochs * blocks[s] * whole // slots[s] for s in slots))
+        counts = dict.fromkeys(slots, 0)
+        for t, (s, _) in enumerate(order):
+            counts[s] += t < until % whole
+        room = take = {s: until // whole * slots[s] + counts[s] for s in slots}
+    per_source = [(s, slots[s], blocks[s], take[s], room[s]) for s in slots]
+    sources = F.broadcast(spark.createDataFrame(per_source, "__mix_source string, __mix_slots long, __mix_blocks long, __mix_take long, __mix_room long"))
     places = F.broadcast(spark.createDataFrame([(s, i, t) for t, (s, i) in enumerate(order)], "__mix_source string, __mix_turn long, __mix_place long"))
 
     totals = docs.select(source.alias("__mix_source"), F.pmod(F.shiftrightunsigned(hashed, 8), F.lit(buckets)).cast("int").alias("__mix_bucket"), length.alias("c")).groupBy("__mix_source", "__mix_bucket").agg(F.sum("c").alias("c"))
@@ -104,7 +127,7 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_chars
     rows = rows.join(offsets, ["__mix_source", "__mix_bucket"]).withColumn("__mix_at", F.col("__mix_offset") + F.col("__mix_before"))
     rows = rows.join(sources, "__mix_source").withColumn("__mix_block", F.least(F.expr(f"__mix_at div {block_chars}"), F.col("__mix_blocks") - 1))
     rows = rows.where("__mix_block < __mix_take").withColumn("__mix_epoch", F.explode(F.expr("sequence(0L, (__mix_take - 1 - __mix_block) div __mix_blocks)")))
-    rows = rows.withColumn("__mix_number", F.expr("__mix_epoch * __mix_blocks + __mix_block")).withColumn("__mix_turn", F.expr("__mix_number % __mix_slots"))
+    rows = rows.withColumn("__mix_number", F.expr("(__mix_epoch * __mix_blocks + __mix_block) * __mix_room div __mix_take")).withColumn("__mix_turn", F.expr("__mix_number % __mix_slots"))
     rows = rows.join(places, ["__mix_source", "__mix_turn"]).withColumn("__mix_slot", F.expr(f"(__mix_number div __mix_slots) * {whole} + __mix_place"))
     return rows.select(*(F.col(c) for c in docs.columns), "__mix_source", "__mix_epoch", "__mix_block", "__mix_slot", "__mix_at")
 

@@ -181,6 +181,18 @@ def test_mix_is_complete_and_near_its_weights(spark):
         assert all(abs(done[s] - (t + 1) * w) < 1.01 for s, w in (("a", 0.4), ("b", 0.3), ("c", 0.3)))
 
 
+def test_a_small_source_cuts_no_other(spark):
+    rows = [(d, "x" * 10, "en", "large") for d in range(10_000)] + [(10_000, "y" * 10, "en", "small")] + [(10_001 + d, "z" * 10, "en", "some") for d in range(40)]
+    for options in ({}, {"period": 100_000}, {"weights": {"large": 0.2, "small": 0.4, "some": 0.4}, "complete": True}):
+        out = mixing.mix(frame(spark, rows), block_chars=10, **options).collect()
+        assert {r["doc_id"] for r in out} == set(range(10_041))
+        assert max(r["epoch"] for r in out) == 3
+        assert len({r["slot"] for r in out}) == len(out) == len({(r["doc_id"], r["epoch"]) for r in out})
+        end, mine = max(r["slot"] for r in out) + 1, {s: sorted(r["slot"] for r in out if r["source"] == s) for s in ("large", "small", "some")}
+        assert end <= 1.05 * len(out)
+        assert all(abs(i - t / end * len(slots)) < 2.01 for slots in mine.values() for i, t in enumerate(slots))
+
+
 def test_interleave_keeps_columns_and_order(spark):
     docs = frame(spark, [(d, "y" * 50, "en", "ab"[d % 2]) for d in range(100)], clashing=True)
     out = mixing.interleave(docs, weights={"a": 1.0, "b": 1.0}, block_chars=100)
