@@ -13,8 +13,12 @@ compares them with those of the items.  The windows are item-sized: items form
 classes by length (powers of two), and one window of its class's length
 starts at every word of every document.  A window is walked only as far as the
 sampled places that it still matches; most leave at the first one.
+The walks drift apart with each edit, so items of 2 * PIECE words and more are
+entered by windows of PIECE words' class from every PIECE-th word on instead: one
+of these holds no more than its share of the edits, and any that matches will do.
 ``REPETITIONS`` are set for a recall of 0.95 and more at the permitted edits.
-Candidates are then verified exactly (bit-parallel edit distance).
+Candidates are then verified exactly against the whole item (bit-parallel edit
+distance).
 
 Documents are scanned once where they lie; only the items travel, in slices
 of ITEMS_AT_ONCE by broadcast, whatever their number (a scan a slice).
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import identified, small, settle
 
-MAX_EDITS, MIN_WORDS, REPETITIONS, SAMPLED, ITEMS_AT_ONCE = 0.1, 8, 12, 4, 50_000
+MAX_EDITS, MIN_WORDS, REPETITIONS, SAMPLED, ITEMS_AT_ONCE, PIECE = 0.1, 8, 12, 4, 50_000, 32
 _SEED = 20_240_607
 
 
@@ -53,8 +57,13 @@ class Index:
         self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         self.limit = [int(max_edits * n + 1e-9) for n in count.tolist()]
         hashes, begin = _parted(words)
+        # Entries: (item, first word of it that the window begins with, length that decides on the class).
+        pieces = [list(range(0, n - PIECE + 1, PIECE)) if n >= 2 * PIECE else [0] for n in count.tolist()]
+        self.item = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        self.shift = np.array([a for p in pieces for a in p], np.int64)
+        begin, count = begin[self.item] + self.shift, np.where(count >= 2 * PIECE, PIECE, count)[self.item]
         random = np.random.default_rng(_SEED)
-        size = 1 << int(np.clip(64 * max(len(items), 1), 1 << 14, 1 << 22) - 1).bit_length()
+        size = 1 << int(np.clip(64 * max(len(begin), 1), 1 << 14, 1 << 22) - 1).bit_length()
         lows = sorted({1 << (n.bit_length() - 1) for n in count.tolist() if n >= MIN_WORDS})
         self.repetitions = []
         for _ in range(repetitions if lows else 0):
@@ -76,14 +85,14 @@ class Index:
             self.repetitions.append((seed, sorted(classes, key=lambda c: c[0][0])))
 
     def candidates(self, words: tv.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(first word of the window, number of the item), distinct and sorted."""
-        starts, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        """(first word of the window, number of the entry), distinct and sorted."""
+        starts, entries = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         hashes, _ = _parted(words)
         symbol = tv.mix64(hashes)
         for seed, classes in self.repetitions:
             turns = _turns(hashes, seed)
             every, reached = np.arange(len(hashes)), 0
-            for places, filters, table, item in classes:
+            for places, filters, table, entry in classes:
                 mask = np.uint64(len(filters[0]) - 1)
                 every, reached = _walk(every, turns, reached, places[0]), places[0]
                 alive = np.flatnonzero(filters[0][symbol & mask][every])
@@ -95,12 +104,12 @@ class Index:
                     alive, at, key = alive[keep], at[keep], key[keep]
                 low, high = np.searchsorted(table, key), np.searchsorted(table, key, side="right")
                 starts.append(np.repeat(alive, high - low))
-                items.append(item[tv.ranges(low, high - low)])
+                entries.append(entry[tv.ranges(low, high - low)])
         place = np.concatenate(starts)
         doc = np.searchsorted(words.first[1:] + np.arange(len(words.first) - 1), place)
         # A window that begins at a document's end mark begins after its last word.
-        pair = np.unique((place - doc) * max(len(self.ids), 1) + np.concatenate(items))
-        return pair // max(len(self.ids), 1), pair % max(len(self.ids), 1)
+        pair = np.unique((place - doc) * max(len(self.item), 1) + np.concatenate(entries))
+        return pair // max(len(self.item), 1), pair % max(len(self.item), 1)
 
 
 def _parted(words: tv.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -154,18 +163,20 @@ def _scan(index: object) -> Callable:
         """(row, item, distance) for everything that is in the batch."""
         its = index.value
         words = tv.Words(part.column("text").to_pylist())
-        start, item = its.candidates(words)
+        start, entry = its.candidates(words)
         doc = np.minimum(np.searchsorted(words.first, start, side="right") - 1, len(words.first) - 2)
+        item, start = its.item[entry], start - its.shift[entry]  # where the item would begin, were there no edits before
         # Neighbouring windows with the same item are one stretch of text to compare.
         order = np.lexsort((start, item, doc))
         start, item, doc = start[order], item[order], doc[order]
-        reach = np.array([len(its.words[i]) + its.limit[i] for i in item.tolist()], dtype=np.int64)
+        # A window may begin before or after the item's own first word, by edits as well as by the walk.
+        reach = np.array([len(its.words[i]) + 2 * its.limit[i] for i in item.tolist()], dtype=np.int64)
         new = np.ones(len(start), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] > start[:-1] + reach[:-1])
         at = np.flatnonzero(new)
         for a, b in zip(at.tolist(), np.append(at[1:], len(start))[: len(at)].tolist(), strict=True):
             i, d, limit = int(item[a]), int(doc[a]), its.limit[int(item[a])]
-            low = max(int(words.first[d]), int(start[a]) - limit)
+            low = max(int(words.first[d]), int(start[a]) - 2 * limit)
             high = min(int(words.first[d + 1]), int(start[b - 1]) + int(reach[b - 1]))
             distance = edit_distance(its.words[i].tolist(), words.hash[low:high].tolist(), limit)
             if distance <= limit:

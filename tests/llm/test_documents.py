@@ -99,6 +99,21 @@ def test_decontamination_against_brute_force(spark):
     assert len(got) >= 0.95 * len(want) > 50
 
 
+@pytest.mark.parametrize("kind", ["mixed", "deletions"])
+def test_decontamination_of_long_items(spark, kind):
+    rng = random.Random(8)
+    items = {i: words(3000 + i, n) for i, n in enumerate((64, 100, 150, 200, 300, 400) * 10)}
+    rows = []
+    for i, item in items.items():
+        gone = set(rng.sample(range(len(item)), len(item) // 10)) if kind == "deletions" else ()
+        text = [w for j, w in enumerate(item) if j not in gone] if gone else edited(item, len(item) // 10, i)
+        rows.append((i, " ".join(words(7000 + i, 90) + text + words(8000 + i, 90)), "en", "a"))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.contaminated(frame(spark, rows), bench).collect()}
+    assert all(d == i and got[d, i] == _edits(items[i], rows[d][1].split()) for d, i in got)
+    assert len(got) >= 0.97 * len(items)
+
+
 def test_decontamination_awkward(spark):
     bench = spark.createDataFrame([(1, "same text for all of us here"), (2, None), (3, ""), (None, "x " * 20), (4, " ".join(words(1, 30))), (4, " ".join(words(1, 30)))], "item_id long, text string")
     docs = awkward(spark)
