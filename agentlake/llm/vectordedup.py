@@ -12,8 +12,12 @@
    then range expansion: whatever lies within the radius is expanded until nothing
    new lies within it.
 5. Cosines are computed exactly for whatever is reported, and recall is audited
-   against brute force for about AUDIT rows chosen by a hash.  Below TARGET the
-   search is repeated with twice the beam, at last with all of the shard.
+   against brute force for rows chosen by a hash: AUDIT of them, and four times as
+   many until PARTNERED have a partner at all.  It is the mean over these rows of the
+   share of their pairs that was found.  Below TARGET the next of ATTEMPTS follows:
+   more shards for each vector, which is then searched for in all of them, and a
+   wider beam.  If the last one fails too, or if the audit has come to all rows, the
+   result is the exact join, block by block; nothing below TARGET is returned.
 
 Equal vectors are collapsed first: the lowest vec_id stands for them, and they come
 back as pairs with it.  Shuffled are the vectors by shard (about twice), edges, and
@@ -32,12 +36,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 
 THRESHOLD, SHARD_ROWS, POOL, RANDOM, DEGREE, ALPHA, BEAM, AUDIT, TARGET = 0.9, 1500, 48, 8, 24, 1.2, 48, 200, 0.95
+#: Rows that recall is taken over at least; (shards of each vector, times the beam); rows compared with all in one scan.
+PARTNERED, ATTEMPTS, BLOCK_ROWS = 200, ((2, 1), (2, 2), (4, 4), (8, 8)), 20_000
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -59,8 +65,8 @@ def pivots(vectors: np.ndarray, rounds: int = 6) -> list[tuple[np.ndarray, np.nd
     return [(centres[c], np.flatnonzero(own == c)) for c in range(len(centres)) if (own == c).any()]
 
 
-def _assign(sent: object) -> Callable:
-    """(shard, home, vec_id, embedding): one row for each of a vector's shards."""
+def _assign(sent: object, spread: int) -> Callable:
+    """(shard, home, vec_id, embedding): one row for each of a vector's shards; beyond two, all are home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, cells = sent.value
@@ -69,7 +75,7 @@ def _assign(sent: object) -> Callable:
             if not batch.num_rows:
                 continue
             x = _unit(batch.column("embedding"))
-            near = np.argsort(-(x @ centres.T), axis=1)[:, :2]
+            near = np.argsort(-(x @ centres.T), axis=1)[:, :spread]
             shard = np.zeros(near.shape, np.int64)
             score = np.full(near.shape, -2.0, np.float32)
             for c, (_, mine) in enumerate(cells):
@@ -82,7 +88,7 @@ def _assign(sent: object) -> Callable:
             home = shard[np.arange(len(x)), score.argmax(axis=1)]
             for j in range(near.shape[1]):
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array(shard[:, j]), pa.array(home == shard[:, j]), batch.column("vec_id"), flat], ["shard", "home", "vec_id", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[:, j]), pa.array((home == shard[:, j]) | (spread > 2)), batch.column("vec_id"), flat], ["shard", "home", "vec_id", "embedding"])
 
     return run
 
@@ -205,18 +211,57 @@ def _search_shard(threshold: float, beam: int) -> Callable:
 
 
 def _brute(sent: object, threshold: float) -> Callable:
+    """(query, vec_id_a, vec_id_b, cosine) of the vectors that were sent with all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = sent.value
         for batch in batches:
-            if batch.num_rows:
-                r, c = np.nonzero(_unit(batch.column("embedding")).astype(np.float64) @ x.T >= threshold)
-                other = batch.column("vec_id").to_numpy()
-                a, b = np.minimum(other[r], ids[c]), np.maximum(other[r], ids[c])
-                yield pa.RecordBatch.from_pydict({"vec_id_a": a[a < b], "vec_id_b": b[a < b]})
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                dots = _unit(part.column("embedding")).astype(np.float64) @ x.T
+                r, c = np.nonzero(dots >= threshold)
+                query, other = ids[c], part.column("vec_id").to_numpy()[r]
+                keep = query != other
+                yield pa.RecordBatch.from_pydict({"query": query[keep], "vec_id_a": np.minimum(query, other)[keep], "vec_id_b": np.maximum(query, other)[keep], "cosine": dots[r, c][keep]})
 
     return run
 
 
+def _exact(distinct: DataFrame, which: Column, threshold: float) -> DataFrame:
+    """All pairs of the chosen vectors, which pass through the driver."""
+    chosen = distinct.where(which).toArrow().combine_chunks()
+    if not chosen.num_rows:
+        return distinct.sparkSession.createDataFrame([], "query long, vec_id_a long, vec_id_b long, cosine double")
+    sent = distinct.sparkSession.sparkContext.broadcast((chosen.column("vec_id").to_numpy(), _unit(chosen.column("embedding").combine_chunks()).astype(np.float64)))
+    return distinct.mapInArrow(_brute(sent, threshold), "query long, vec_id_a long, vec_id_b long, cosine double")
+
+
+def exact_pairs(distinct: DataFrame, rows: int, threshold: float) -> DataFrame:
+    """Every pair, BLOCK_ROWS vectors at a time with all of them."""
+    blocks = -(-rows // BLOCK_ROWS)
+    of = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks))
+    out = None
+    for k in range(blocks):
+        one = settle(_exact(distinct, of == k, threshold).where("query = vec_id_a").drop("query"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _recall(truth: DataFrame, pairs: DataFrame) -> float:
+    """Mean over the audited rows of the share of their pairs that was found."""
+    found = truth.join(pairs.select("vec_id_a", "vec_id_b", F.lit(1.0).alias("found")), ["vec_id_a", "vec_id_b"], "left")
+    return found.groupBy("query").agg(F.avg(F.coalesce("found", F.lit(0.0))).alias("share")).agg(F.avg("share")).first()[0]
+
+
+def _graph(distinct: DataFrame, sent: object, spread: int) -> DataFrame:
+    """The members of every shard with their united edges, and their neighbours from elsewhere."""
+    placed = settle(distinct.mapInArrow(_assign(sent, spread), "shard long, home boolean, vec_id long, embedding array<float>").dropDuplicates(["shard", "vec_id"]))
+    adjacent = settle(placed.groupBy("shard").applyInArrow(_edges, "src long, dst long").groupBy("src").agg(F.collect_set("dst").alias("adjacent")))
+    members = placed.join(adjacent, placed["vec_id"] == adjacent["src"], "left").select("shard", "home", F.lit(True).alias("member"), "vec_id", "embedding", "adjacent")
+    outer = members.select("shard", F.explode("adjacent").alias("vec_id")).distinct().join(placed.select("shard", "vec_id"), ["shard", "vec_id"], "left_anti").join(distinct, "vec_id")
+    return settle(members.unionByName(outer.select("shard", F.lit(False).alias("home"), F.lit(False).alias("member"), "vec_id", "embedding", F.lit(None).cast("array<long>").alias("adjacent"))))
+
+
 def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(vec_id_a < vec_id_b, cosine) of at least threshold; for equal vectors, pairs with their lowest vec_id."""
     spark = embeddings.sparkSession
@@ -239,21 +284,21 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD, beam: int =
         picked = distinct.orderBy("vec_id").limit(1).toArrow().combine_chunks()
     vectors = _unit(picked.column("embedding").combine_chunks())
     sent = spark.sparkContext.broadcast((vectors, pivots(vectors)))
-    placed = settle(distinct.mapInArrow(_assign(sent), "shard long, home boolean, vec_id long, embedding array<float>").dropDuplicates(["shard", "vec_id"]))
-    adjacent = settle(placed.groupBy("shard").applyInArrow(_edges, "src long, dst long").groupBy("src").agg(F.collect_set("dst").alias("adjacent")))
-    members = placed.join(adjacent, placed["vec_id"] == adjacent["src"], "left").select("shard", "home", F.lit(True).alias("member"), "vec_id", "embedding", "adjacent")
-    outer = members.select("shard", F.explode("adjacent").alias("vec_id")).distinct().join(placed.select("shard", "vec_id"), ["shard", "vec_id"], "left_anti").join(distinct, "vec_id")
-    graph = settle(members.unionByName(outer.select("shard", F.lit(False).alias("home"), F.lit(False).alias("member"), "vec_id", "embedding", F.lit(None).cast("array<long>").alias("adjacent"))))
-    audited = distinct.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(rows)) < AUDIT).toArrow().combine_chunks()
-    ids = audited.column("vec_id").to_numpy()
-    truth = None
-    if len(ids):
-        test = spark.sparkContext.broadcast((ids, _unit(audited.column("embedding").combine_chunks()).astype(np.float64)))
-        truth = settle(distinct.mapInArrow(_brute(test, threshold), "vec_id_a long, vec_id_b long").distinct())
+    size = AUDIT
     while True:
-        pairs = settle(graph.groupBy("shard").applyInArrow(_search_shard(threshold, beam), schema).dropDuplicates(["vec_id_a", "vec_id_b"]))
-        want = truth.count() if truth is not None else 0
-        missed = truth.join(pairs, ["vec_id_a", "vec_id_b"], "left_anti").count() if want else 0
-        if missed <= (1 - TARGET) * want or beam > 4 * shard_rows:
+        truth = settle(_exact(distinct, F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(rows)) < size, threshold))
+        if size >= rows or truth.select("query").distinct().count() >= PARTNERED:
+            break
+        size = 4 * size if 4 * size <= BLOCK_ROWS else rows
+        if size == rows:
+            return exact_pairs(distinct, rows, threshold).unionByName(copies)
+    if size >= rows:
+        return truth.where("query = vec_id_a").drop("query").unionByName(copies)
+    graph, had = None, 0
+    for spread, wider in ATTEMPTS:
+        if spread != had:
+            graph, had = _graph(distinct, sent, spread), spread
+        pairs = settle(graph.groupBy("shard").applyInArrow(_search_shard(threshold, wider * beam), schema).dropDuplicates(["vec_id_a", "vec_id_b"]))
+        if _recall(truth, pairs) >= TARGET:
             return pairs.unionByName(copies)
-        beam = 2 * beam if beam < 8 * BEAM else 8 * shard_rows
+    return exact_pairs(distinct, rows, threshold).unionByName(copies)

@@ -95,6 +95,19 @@ def test_near_pairs_recall(spark):
     assert len(got) >= 0.9 * len(want) > 300
 
 
+def test_near_pairs_fall_back_to_the_exact_join(spark, monkeypatch):
+    monkeypatch.setattr(vectordedup, "ATTEMPTS", ())
+    monkeypatch.setattr(vectordedup, "PARTNERED", 10)
+    monkeypatch.setattr(vectordedup, "BLOCK_ROWS", 900)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(1500, 64))
+    x = np.concatenate([base, base[:300] + 0.44 * rng.normal(size=(300, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = [(r["vec_id_a"], r["vec_id_b"]) for r in vectordedup.near_pairs(df, 0.9, shard_rows=300).collect()]
+    assert len(got) == len(set(got)) > 100
+    assert set(got) == _brute(x.astype(np.float64), 0.9)
+
+
 def test_near_pairs_awkward(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [1.0, None]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (10, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shard", F.lit(0)).withColumn("home", F.lit(0))
