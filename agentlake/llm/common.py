@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import settle
 
-__all__ = ["BROADCAST_IDS", "identified", "in_small_batches", "partitions", "settle", "shared_folder", "small", "table"]
+__all__ = ["BROADCAST_IDS", "identified", "in_small_batches", "partitions", "settle", "shared_folder", "small", "table", "without"]
 
 #: Rows of ids that may be sent to every executor (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 4_000_000
@@ -41,6 +41,20 @@ def identified(docs: DataFrame, *columns: str) -> DataFrame:
     return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *columns).where("doc_id IS NOT NULL")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that none of the columns has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of docs whose doc_id is not among ids (``left_semi``: is among them); rows without doc_id are among none."""
+    own = unused(docs.columns, "__own_id")
+    return docs.join(small(settle(ids.select(F.col("doc_id").alias(own)))), F.col("doc_id") == F.col(own), how)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -86,20 +86,26 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP7_SQL = r"""
-WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''),
+WITH RECURSIVE t AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''),
 g AS (SELECT text, min(doc_id) AS rep FROM t GROUP BY text),
 w AS (SELECT rep, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+') AS w FROM g),
 s AS (SELECT rep, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [array_to_string(w, ' ')] END) AS grams FROM w WHERE len(w) > 0),
 e AS (SELECT rep, len(grams) AS size, unnest(grams) AS gram FROM s),
-p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.size) + any_value(b.size) AS sizes, count(*) AS both_have FROM e a JOIN e b ON a.gram = b.gram AND a.rep < b.rep AND a.size >= 0.6 * b.size AND b.size >= 0.6 * a.size GROUP BY 1, 2)
-SELECT a AS doc_id_a, b AS doc_id_b, both_have::DOUBLE / (sizes - both_have) AS jaccard FROM p WHERE both_have::DOUBLE / (sizes - both_have) >= 0.6 - 1e-12
-UNION ALL SELECT rep, doc_id, 1.0::DOUBLE FROM t JOIN g USING (text) WHERE doc_id <> rep
+p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.size) + any_value(b.size) AS sizes, count(*) AS both_have FROM e a JOIN e b ON a.gram = b.gram AND a.rep <> b.rep AND a.size >= 0.6 * b.size AND b.size >= 0.6 * a.size GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE both_have::DOUBLE / (sizes - both_have) >= 0.6 - 1e-12),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a AS rep, least(a, min(b)) AS class_id FROM r GROUP BY a),
+m AS (SELECT rep, count(*) AS times FROM t JOIN g USING (text) GROUP BY rep),
+n AS (SELECT l.a AS rep, sum(m.times) AS found FROM l JOIN m ON m.rep = l.b GROUP BY l.a)
+SELECT d.doc_id, coalesce(k.class_id, g.rep, d.doc_id) AS class_id, (coalesce(n.found, 0) + coalesce(m.times, 1) - 1)::BIGINT AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN t USING (doc_id) LEFT JOIN g USING (text) LEFT JOIN m USING (rep) LEFT JOIN k USING (rep) LEFT JOIN n USING (rep)
 """
 
 
 @_query("op7_ngram_jaccard", _OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+    """Each document with its class of near copies and its number of links."""
+    return jaccard.near_classes(table(spark, sf_dir, "documents"))
 
 
 @_query("op8_section_tokens")

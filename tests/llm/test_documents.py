@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -253,26 +254,50 @@ def test_language_awkward(spark):
 # n-gram Jaccard join (7)
 
 
-@pytest.mark.parametrize(("n", "threshold"), [(3, 0.6), (1, 0.8), (2, 0.5)])
-def test_jaccard_join_against_brute_force(spark, n, threshold):
-    rows = []
-    passage = words(9, 60)
+def _classes(texts, n, threshold):
+    """{doc_id: (class_id, links)} by comparing all with all."""
+    sets = {d: _shingles(t, n) for d, t in texts.items()}
+    links = {a: {b for b in texts if b != a and (texts[a] == texts[b] or sets[a] and sets[b] and len(sets[a] & sets[b]) >= (threshold - 1e-12) * len(sets[a] | sets[b]))} for a in texts}
+    label = {}
+    for d in sorted(texts):
+        open_ = [d] if d not in label else []
+        while open_:
+            x = open_.pop()
+            if x not in label:
+                label[x] = d
+                open_ += links[x]
+    return {d: (label[d], len(links[d])) for d in texts}
+
+
+@pytest.mark.parametrize(("n", "threshold", "split"), [(3, 0.6, False), (3, 0.6, True), (1, 0.8, True)])
+def test_near_classes_against_brute_force(spark, monkeypatch, n, threshold, split):
+    if split:  # small tables take the ways of large groups
+        for name, value in (("HOT_GROUP", 8), ("BLOCK_DOCS", 6), ("LIST_ROWS", 10), ("CELL_PAIRS", 12), ("HELD_PAIRS", 50), ("HOT_DF", 4)):
+            monkeypatch.setattr(jaccard, name, value)
+    texts, passage = {}, words(9, 60)
     for d in range(240):
         base = words(d // 6, 30 + d // 6 * 3)
-        text = edited(base, (d % 6) * 3, d)
-        rows.append((d, " ".join(text + (passage if d % 4 == 0 else [])), "en", "a"))
-    rows += [(1000 + d, rows[d][1], "en", "a") for d in range(0, 240, 40)]
-    got = {(r["doc_id_a"], r["doc_id_b"]): r["jaccard"] for r in jaccard.jaccard_join(frame(spark, rows), n, threshold).collect()}
-    sets = {d: _shingles(t, n) for d, t, *_ in rows if d < 1000}
-    want = {(d, 1000 + d): 1.0 for d in range(0, 240, 40)}
-    for a in sets:
-        for b in sets:
-            if a < b and rows[a][1] != rows[b][1]:
-                j = len(sets[a] & sets[b]) / max(len(sets[a] | sets[b]), 1)
-                if j >= threshold:
-                    want[a, b] = j
-    assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        texts[d] = " ".join(edited(base, (d % 6) * 3, d) + (passage if d % 4 == 0 else []))
+    texts |= {500 + d: " ".join(edited(words(77, 80), d % 14, 4000 + d)) for d in range(60)}
+    texts |= {1000 + d: texts[d] for d in [*range(0, 240, 40), *range(500, 504)]}
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.near_classes(frame(spark, [(d, t, "en", "a") for d, t in texts.items()]), n, threshold).collect()}
+    assert got == _classes(texts, n, threshold)
+    assert max(links for _, links in got.values()) > 20
+
+
+def test_hot_groups_leave_the_lists(spark, monkeypatch):
+    texts = {d: " ".join(edited(words(5, 100), d % 5, d)) for d in range(80)}
+    docs = frame(spark, [(d, t, "en", "a") for d, t in texts.items()]).select("doc_id", "text")
+    monkeypatch.setattr(jaccard, "HOT_GROUP", 8)
+    signs, value, size = jaccard._buckets(docs, 3)
+    assert len(value) and size.min() >= 8
+    times = docs.where("false").select("doc_id", F.lit(1).alias("times"))
+    send = spark.sparkContext.broadcast
+    often = jaccard._hot(docs, 3)
+    listed = [jaccard._candidate_links(docs, times, send((often, v)), 3, 0.6).agg(F.sum("links")).first()[0] or 0 for v in (value[:0], value)]
+    assert listed[1] < 0.2 * listed[0]
+    compared = jaccard._hot_links(docs, times, signs, send((value, size)), 3, 0.6).agg(F.sum("links")).first()[0]
+    assert compared + listed[1] == listed[0]
 
 
 def test_groups_and_drop(spark):
@@ -285,11 +310,25 @@ def test_groups_and_drop(spark):
 
 
 def test_jaccard_awkward(spark):
-    assert [(r["doc_id_a"], r["doc_id_b"]) for r in jaccard.jaccard_join(awkward(spark)).collect()] == [(5, 6)]
-    assert jaccard.jaccard_join(spark.createDataFrame([], DOCS)).count() == 0
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.near_classes(awkward(spark)).collect()}
+    assert got == {d: (d, 0) for d in (1, 2, 3, 4, 7, 8)} | {5: (5, 1), 6: (5, 1)}
+    assert jaccard.near_classes(spark.createDataFrame([], DOCS)).count() == 0
     assert jaccard.drop_near_copies(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_one_text_of_a_doc_id_counts(spark):
+    one, two = " ".join(words(1, 40)), " ".join(words(2, 40))
+    docs = frame(spark, [(1, one, "en", "a"), (1, two, "en", "a"), (2, one, "en", "a"), (3, two, "en", "a")])
+    least = min((one, two), key=lambda t: hashlib.md5(t.encode()).digest())
+    other = 2 if least == one else 3
+    got = {r["doc_id"]: r["class_id"] for r in jaccard.near_classes(docs).collect()}
+    assert got == {1: 1, other: 1, 5 - other: 5 - other}
+    odd = docs.withColumn("a.b", F.lit(1)).withColumn("m", F.create_map(F.lit(1), F.lit("x"))).withColumn("__own_id", F.lit(7)).withColumn("Lead", F.lit(7))
+    kept = jaccard.drop_near_copies(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5 - other]
+
+
 # Token counts (8)
 
 
