@@ -128,6 +128,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(records, replica)
 
 
-@_query("op9_embedding_near_copies")
+_OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, min(embedding)::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0 GROUP BY vec_id
+), d AS (SELECT len(embedding) AS n FROM embeddings WHERE vec_id IN (SELECT vec_id FROM v) GROUP BY n ORDER BY count(*) DESC, n LIMIT 1),
+s AS (SELECT vec_id, e FROM v WHERE len(e) = (SELECT n FROM d)),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM s x JOIN s y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a AS vec_id, least(a, min(b)) AS class_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS links FROM l GROUP BY a)
+SELECT vec_id, coalesce(class_id, vec_id) AS class_id, coalesce(links, 0)::BIGINT AS links
+FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id IS NOT NULL) LEFT JOIN k USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
+@_query("op9_embedding_near_copies", _OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectordedup.near_pairs(table(spark, sf_dir, "embeddings"))
+    """Each vector with its class of near copies and its number of links."""
+    return vectordedup.near_classes(table(spark, sf_dir, "embeddings"))

@@ -78,41 +78,80 @@ def test_audit_awkward(spark):
 
 
 def _brute(x, threshold):
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    a, b = np.nonzero(np.triu(u @ u.T >= threshold, 1))
-    return set(zip(a.tolist(), b.tolist(), strict=True))
+    """{row: (class, links)} by comparing all with all."""
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = u @ u.T >= threshold
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1))
+        if (new == label).all():
+            return {i: (int(label[i]), int(near[i].sum())) for i in range(len(x))}
+        label = new
 
 
-def test_near_pairs_recall(spark):
-    rng = np.random.default_rng(0)
-    base = rng.normal(size=(900, 24))
-    near = np.concatenate([base[:20].repeat(12, axis=0) + 0.15 * rng.normal(size=(240, 24)), base[30:130] + 0.2 * rng.normal(size=(100, 24))])
-    x = np.concatenate([base, near]).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    out = vectordedup.near_pairs(df, 0.9, shard_rows=300).collect()
-    got, want = {(r["vec_id_a"], r["vec_id_b"]) for r in out}, _brute(x.astype(np.float64), 0.9)
-    assert got <= want
-    assert len(got) >= 0.9 * len(want) > 300
+def _vectors(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+
+
+def _classes(spark, x, **options):
+    return {r["vec_id"]: (r["class_id"], r["links"]) for r in vectordedup.near_classes(_vectors(spark, x), 0.9, **options).collect()}
 
 
-def test_near_pairs_fall_back_to_the_exact_join(spark, monkeypatch):
+def test_graph_links_against_brute_force(spark, monkeypatch):
+    """Groups too small for a ball; the audit does not come to all rows."""
+    monkeypatch.setattr(vectordedup, "AUDIT", 300)
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=(1500, 24))
+    near = np.concatenate([base[:20].repeat(6, axis=0) + 0.15 * rng.normal(size=(120, 24)), base[30:230] + 0.2 * rng.normal(size=(200, 24))])
+    x = np.concatenate([base, near, base[30:40]]).astype(np.float32)
+    got, want = _classes(spark, x, shard_rows=300), _brute(x, 0.9)
+    assert got.keys() == want.keys()
+    assert all(got[i][1] <= want[i][1] for i in want)
+    assert sum(n for _, n in got.values()) >= 0.97 * sum(n for _, n in want.values()) > 800
+
+
+@pytest.mark.parametrize("rows", [4096, 40])
+def test_balls_and_their_visitors_are_exact(spark, monkeypatch, rows):
+    monkeypatch.setattr(vectordedup, "BALL_ROWS", rows)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(400, 24))
+    # Two tight groups close to each other, and vectors at every distance from them.
+    other = base[0] + 0.45 * rng.normal(size=24)
+    x = np.concatenate([base, base[0] + 0.06 * rng.normal(size=(300, 24)), other + 0.06 * rng.normal(size=(200, 24)), base[0] + np.linspace(0.05, 0.6, 150)[:, None] * rng.normal(size=(150, 24))]).astype(np.float32)
+    x = np.concatenate([x, x[450:470]])
+    got = _classes(spark, x)
+    assert got == _brute(x, 0.9)
+    balls = vectordedup.crowded(x[:900] / np.linalg.norm(x[:900], axis=1, keepdims=True), float(np.cos(np.arccos(0.9) / 2)))
+    assert 1 <= len(balls) < 10
+    assert max(n for _, n in got.values()) > 300
+
+
+def test_below_the_target_the_join_is_exact(spark, monkeypatch):
     monkeypatch.setattr(vectordedup, "ATTEMPTS", ())
-    monkeypatch.setattr(vectordedup, "PARTNERED", 10)
+    monkeypatch.setattr(vectordedup, "AUDIT", 300)
     monkeypatch.setattr(vectordedup, "BLOCK_ROWS", 900)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(1500, 64))
     x = np.concatenate([base, base[:300] + 0.44 * rng.normal(size=(300, 64))]).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = [(r["vec_id_a"], r["vec_id_b"]) for r in vectordedup.near_pairs(df, 0.9, shard_rows=300).collect()]
-    assert len(got) == len(set(got)) > 100
-    assert set(got) == _brute(x.astype(np.float64), 0.9)
+    assert _classes(spark, x, shard_rows=300) == _brute(x, 0.9)
+
+
+def test_links_across_shards(spark):
+    rows = [(1, [1.0, 0.0, 0.0], [1, 2]), (2, [0.95, 0.3, 0.0], [2, 3]), (3, [0.9, 0.43, 0.0], [3, 4]), (4, [0.0, 0.0, 1.0], [4, 5])]
+    placed = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shards array<long>")
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    assert sorted(map(tuple, vectordedup._across(pairs, placed, 0.9).collect())) == [(1, 2), (1, 3), (2, 3)]
+    assert sorted(map(tuple, vectordedup._across(pairs, placed, 0.95).collect())) == [(1, 2), (2, 3)]
 
 
-def test_near_pairs_awkward(spark):
+def test_near_classes_awkward(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [1.0, None]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (10, [0.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shard", F.lit(0)).withColumn("home", F.lit(0))
-    assert sorted((r["vec_id_a"], r["vec_id_b"]) for r in vectordedup.near_pairs(df).collect()) == [(1, 2), (1, 3)]
-    assert vectordedup.near_pairs(df.limit(0)).count() == 0
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shards", F.lit(0)).withColumn("times", F.lit(0)).withColumn("a.b", F.lit(0))
+    got = {r["vec_id"]: (r["class_id"], r["links"]) for r in vectordedup.near_classes(df).collect()}
+    assert got == {i: (i, 0) for i in range(4, 11)} | {i: (1, 2) for i in (1, 2, 3)}
+    assert vectordedup.near_classes(df.limit(0)).count() == 0
+    assert {r["links"] for r in vectordedup.near_classes(df.where("vec_id IN (4, 5)")).collect()} == {0}
 
 
 # Pipeline
@@ -147,5 +186,5 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
 def test_every_operator_has_its_query():
     assert {q.split("_")[0] for q in llm_queries.QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
-    assert set(llm_queries.ORACLE) == {"op3_url_filter", "op7_ngram_jaccard", "op10_warc_fixity"}
+    assert set(llm_queries.ORACLE) == {"op3_url_filter", "op7_ngram_jaccard", "op9_embedding_near_copies", "op10_warc_fixity"}
     assert jaccard.THRESHOLD and langid.FIT_DOCS
