@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import settle
 
-__all__ = ["BROADCAST_IDS", "identified", "in_small_batches", "partitions", "settle", "shared_folder", "small", "table", "without"]
+__all__ = ["BROADCAST_IDS", "identified", "in_small_batches", "named", "partitions", "settle", "shared_folder", "small", "table", "unused", "without"]
 
 #: Rows of ids that may be sent to every executor (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 2_000_000
 BATCH_BYTES = 4 << 20
 
 
@@ -41,6 +41,11 @@ def identified(docs: DataFrame, *columns: str) -> DataFrame:
     return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *columns).where("doc_id IS NOT NULL")
 
 
+def named(column: str) -> str:
+    """A column's name as it may stand in an expression, whatever signs it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def unused(columns: list[str], name: str) -> str:
     """A column name that none of the columns has, whatever its case."""
     taken = {c.lower() for c in columns}

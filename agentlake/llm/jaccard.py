@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from . import textvec as tv
-from .common import identified, partitions, settle, small, without
+from .common import identified, named, partitions, settle, small, without
 
 N, THRESHOLD = 3, 0.6
 #: Most n-grams whose frequency is told apart, and the least frequency that is.
@@ -572,7 +572,7 @@ def _candidate_links(single: DataFrame, times: DataFrame, sent: object, n: int,
 def _hot_links(single: DataFrame, times: DataFrame, signs: DataFrame, sent: object, n: int, threshold: float) -> DataFrame:
     """What comparison within the hot buckets finds, as _FOUND."""
     cells = settle(signs.mapInArrow(_cells(sent), "bucket int, x int, y int, own int, doc_id long, hot array<int>"))
-    rows = single.join(small(cells), "doc_id").join(small(times), "doc_id", "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    rows = single.join(small(cells, 300_000), "doc_id").join(small(times), "doc_id", "left").withColumn("times", F.coalesce("times", F.lit(1)))
     return rows.repartition(RANGES * partitions(single.sparkSession), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(_verify_hot(n, threshold), _FOUND)
 
 
@@ -582,7 +582,7 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     context = docs.sparkSession.sparkContext
     texts, known = _one_text(docs)
     leads = settle(known.groupBy("sum").agg(F.min("doc_id").alias("lead"), F.count("*").alias("times")).where("times > 1"))
-    copies = settle(known.join(small(leads), "sum").select("doc_id", "lead", "times"))
+    copies = settle(known.join(small(leads, 1_000_000), "sum").select("doc_id", "lead", "times"))
     single = without(texts, copies.where("doc_id != lead").select("doc_id"))
     times = settle(leads.select(F.col("lead").alias("doc_id"), "times"))
     often = _hot(single, n)
@@ -629,7 +629,7 @@ def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
     if not again.limit(1).count():
         return kept
     once = without(kept, again, "left_semi")
-    ordered = [f"`{f.name.replace('`', '``')}`" for f in docs.schema if f.name not in ("doc_id", "text") and isinstance(f.dataType, AtomicType)]
-    least = once.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(docs.columns))), F.struct(F.col("text").isNull(), "text", *ordered)).alias("row"))
+    ordered = [named(f.name) for f in docs.schema if f.name not in ("doc_id", "text") and isinstance(f.dataType, AtomicType)]
+    least = once.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(named(c)).alias(f"c{i}") for i, c in enumerate(docs.columns))), F.struct(F.col("text").isNull(), "text", *ordered)).alias("row"))
     once = least.select(*(F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)))
     return without(kept, again).unionByName(once)

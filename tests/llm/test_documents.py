@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -167,61 +169,99 @@ def test_toxicity_awkward(spark):
 # Mixing (5)
 
 
-def test_schedule_deviates_by_less_than_a_block():
-    for weights in ({"a": 1.0}, {"a": 0.5, "b": 0.3, "c": 0.2}, {f"s{i}": 1 / (i + 1) for i in range(30)}):
-        slots = mixing.quantise(weights, 1000)
-        order = mixing.schedule(slots)
-        period = sum(slots.values())
-        done = dict.fromkeys(slots, 0)
-        for t, (s, i) in enumerate(order, 1):
-            assert i == done[s]
-            done[s] += 1
-            assert all(abs(done[x] - t * slots[x] / period) < 1 for x in slots)
-        assert done == slots
+def _plain_schedule(weights, slots):
+    """Every slot goes to the source, of those whose next block is released, whose next block is due first."""
+    total, done, out = sum(map(Fraction, weights.values())), dict.fromkeys(weights, 0), []
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    for t in range(slots):
+        free = [s for s in sorted(weights) if math.floor(done[s] / share[s]) <= t]
+        best = min(free, key=lambda s: (math.ceil((done[s] + 1) / share[s]), s))
+        out.append((best, done[best]))
+        done[best] += 1
+    return out
+
+
+IRRATIONAL = {f"s{i}": (i + 1) ** -0.7 for i in range(20)}
+
+
+@pytest.mark.parametrize("weights", [{"a": 1.0}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1 / 3, "b": 1 / 7, "c": math.pi / 10}, IRRATIONAL])
+def test_schedule_against_a_plain_one(weights):
+    got = mixing.schedule(mixing.whole_weights(weights), 800)
+    assert sorted((t, s, i) for s, slots in got.items() for i, t in enumerate(slots.tolist())) == [(t, s, i) for t, (s, i) in enumerate(_plain_schedule(weights, 800))]
 
 
-def test_mix_is_complete_and_near_its_weights(spark):
+@pytest.mark.parametrize("weights", [{"a": 1 / 3, "b": 1 / 7, "c": 1 - 1 / 3 - 1 / 7}, IRRATIONAL, {"a": 1.0, "b": 1e-6, "c": 2**0.5}])
+def test_deviation_is_below_one_block_at_every_slot(weights):
+    slots = 1_000_000
+    got, total = mixing.schedule(mixing.whole_weights(weights), slots), sum(weights.values())
+    assert sorted(np.concatenate(list(got.values())).tolist()) == list(range(slots))
+    for s, mine in got.items():
+        done = np.cumsum(np.bincount(mine, minlength=slots))
+        assert np.abs(done - np.arange(1, slots + 1) * (weights[s] / total)).max() < 1
+
+
+def test_mix_row_by_row(spark):
     rng = random.Random(1)
     rows = [(d, "x" * rng.randrange(1, 400), "en", "abc"[0 if d % 10 < 7 else 1 if d % 10 < 9 else 2]) for d in range(2000)]
-    out = mixing.mix(frame(spark, rows), weights={"a": 0.4, "b": 0.3, "c": 0.3}, block_chars=2000, period=10).collect()
-    blocks = {}
-    for r in out:
-        blocks.setdefault(r["slot"], set()).add((r["source"], r["epoch"], r["block"]))
-    assert all(len(b) == 1 for b in blocks.values())
-    assert max(r["epoch"] for r in out) <= 3
-    once = {r["doc_id"] for r in out if r["source"] == "c"}
-    assert once == {d for d in range(2000) if d % 10 == 9}
-    done = dict.fromkeys("abc", 0)
-    for t in sorted(blocks):
-        done[next(iter(blocks[t]))[0]] += 1
-        assert all(abs(done[s] - (t + 1) * w) < 1.01 for s, w in (("a", 0.4), ("b", 0.3), ("c", 0.3)))
-
-
-def test_a_small_source_cuts_no_other(spark):
+    weights, size = {"a": 0.4, "b": 0.3, "c": 1 / 3}, 2000
+    docs = frame(spark, rows)
+    out = mixing.mix(docs, weights=weights, block_chars=size).collect()
+    hashed = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit(mixing.SEED)).alias("h")).collect()}
+    block, count = {}, {}
+    for s in "abc":
+        at = 0
+        for d, text, *_ in sorted((r for r in rows if r[3] == s), key=lambda r: hashed[r[0]]):
+            block[d] = at // size
+            at += len(text)
+        count[s] = -(-at // size)
+    total = sum(map(Fraction, weights.values()))
+    slots = max(math.ceil(count[s] * total / Fraction(weights[s])) for s in weights)
+    want = sorted((d, s, i // count[s], block[d], t) for t, (s, i) in enumerate(_plain_schedule(weights, slots)) for d, _, _, own in rows if own == s and block[d] == i % count[s])
+    assert sorted(map(tuple, out)) == want
+    assert {r["doc_id"] for r in out} == set(range(2000))
+
+
+def test_no_source_cuts_another(spark):
     rows = [(d, "x" * 10, "en", "large") for d in range(10_000)] + [(10_000, "y" * 10, "en", "small")] + [(10_001 + d, "z" * 10, "en", "some") for d in range(40)]
-    for options in ({}, {"period": 100_000}, {"weights": {"large": 0.2, "small": 0.4, "some": 0.4}, "complete": True}):
-        out = mixing.mix(frame(spark, rows), block_chars=10, **options).collect()
+    docs = frame(spark, rows)
+    for options in ({}, {"weights": {"large": 0.2, "small": 0.4, "some": 0.4}}, {"weights": {"large": 0.2, "small": 0.4, "some": 0.4}, "max_epochs": 4}):
+        out = mixing.mix(docs, block_chars=10, **options).collect()
         assert {r["doc_id"] for r in out} == set(range(10_041))
-        assert max(r["epoch"] for r in out) == 3
         assert len({r["slot"] for r in out}) == len(out) == len({(r["doc_id"], r["epoch"]) for r in out})
-        end, mine = max(r["slot"] for r in out) + 1, {s: sorted(r["slot"] for r in out if r["source"] == s) for s in ("large", "small", "some")}
-        assert end <= 1.05 * len(out)
-        assert all(abs(i - t / end * len(slots)) < 2.01 for slots in mine.values() for i, t in enumerate(slots))
+        most = max(r["epoch"] for r in out if r["source"] == "small")
+        assert most == 3 if "max_epochs" in options else most > 10
+
+
+def test_a_million_blocks_beside_one():
+    blocks = {"large": 1_000_000, "one": 1}
+    weights = mixing.whole_weights({s: n**mixing.TEMPERATURE for s, n in blocks.items()})
+    slots = mixing.slots_needed(blocks, weights)
+    got = mixing.schedule(weights, slots)
+    assert all(len(got[s]) >= n for s, n in blocks.items())
+    assert slots < 1_000_200
 
 
 def test_interleave_keeps_columns_and_order(spark):
-    docs = frame(spark, [(d, "y" * 50, "en", "ab"[d % 2]) for d in range(100)], clashing=True)
+    docs = frame(spark, [(d, "y" * 50, "en", "ab"[d % 2]) for d in range(100)], clashing=True).withColumn("a.b", F.lit(1)).withColumn("__mix_slot", F.lit(2)).withColumn("m", F.create_map(F.lit(1), F.lit(2)))
     out = mixing.interleave(docs, weights={"a": 1.0, "b": 1.0}, block_chars=100)
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == list(range(100))
+    slot = {r["doc_id"]: r["slot"] for r in mixing.mix(docs, weights={"a": 1.0, "b": 1.0}, block_chars=100).collect()}
+    assert [slot[r["doc_id"]] for r in out.collect()] == sorted(slot.values())
 
 
 def test_mixing_awkward(spark):
     out = mixing.mix(awkward(spark), block_chars=10_000).collect()
     assert {r["doc_id"] for r in out} == {None, 1, 2, 3, 4, 5, 6, 7, 8}
     assert {r["source"] for r in out} == {"", "a", "b", "c"}
+    assert sum(r["doc_id"] == 5 and r["epoch"] == 0 for r in out) == 2
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     assert mixing.mix(awkward(spark), weights={"zz": 1.0}).count() == 0
+    assert {r["source"] for r in mixing.mix(awkward(spark), weights={"zz": 1.0, "b": 2.0}).collect()} == {"b"}
+    assert mixing.interleave(spark.createDataFrame([], DOCS)).count() == 0
+    for wrong in (-1.0, math.inf, math.nan):
+        with pytest.raises(ValueError, match="weights"):
+            mixing.mix(awkward(spark), weights={"a": wrong})
 
 
 # Language ID (6)
