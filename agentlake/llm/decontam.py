@@ -18,15 +18,18 @@ entered by windows of PIECE words' class from every PIECE-th word on instead: on
 of these holds no more than its share of the edits, and any that matches will do.
 ``REPETITIONS`` are set for a recall of 0.95 and more at the permitted edits.
 Candidates are then verified exactly against the whole item (bit-parallel edit
-distance).
+distance).  Items that permit no edit (fewer than 10 words by default) are looked
+up by a hash of their whole word sequence at every word instead: all are found.
 
 Documents are scanned once where they lie; only the items travel, in slices
-of ITEMS_AT_ONCE by broadcast, whatever their number (a scan a slice).
+of ITEMS_AT_ONCE items or CHARS_AT_ONCE characters by broadcast, whatever their
+number (a scan a slice).  Filters are sized by the entries of their class and
+packed: an index takes about 1 KB an entry.
 
-Defined results: items of fewer than MIN_WORDS words (null and empty ones too)
-are too short to be recognised and never match; null and empty texts match
-nothing; rows without doc_id, or items without item_id, are left out of the
-pairs; repeated rows and items count once, and an item_id or a doc_id with
+Defined results: null and empty items, and ones without words, never match; an item
+of one word is found wherever the word stands (give ``min_words`` to leave such items
+out); null and empty texts match nothing; rows without doc_id, or items without
+item_id, are left out of the pairs; repeated rows and items count once, and an item_id or a doc_id with
 several texts has its least distance; other columns do not matter; an empty
 table gives no rows.
 """
@@ -41,30 +44,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import identified, small, settle
+from .common import identified, without
 
-MAX_EDITS, MIN_WORDS, REPETITIONS, SAMPLED, ITEMS_AT_ONCE, PIECE = 0.1, 8, 12, 4, 50_000, 32
+MAX_EDITS, MIN_WORDS, REPETITIONS, SAMPLED, ITEMS_AT_ONCE, CHARS_AT_ONCE, PIECE = 0.1, 1, 12, 4, 50_000, 8_000_000, 32
 _SEED = 20_240_607
 
 
 class Index:
     """Bit-sampling tables over the CGK embeddings of item-sized windows."""
 
-    def __init__(self, items: list[tuple[int, str]], max_edits: float, repetitions: int):
+    def __init__(self, items: list[tuple[int, str]], max_edits: float, repetitions: int, min_words: int = MIN_WORDS):
         words = tv.Words([t for _, t in items])
         count = np.diff(words.first)
         self.ids = [i for i, _ in items]
         self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         self.limit = [int(max_edits * n + 1e-9) for n in count.tolist()]
         hashes, begin = _parted(words)
+        # Items that permit no edit: (words, sorted hashes of whole items, items).
+        self.exact = []
+        for n in sorted({n for n, limit in zip(count.tolist(), self.limit, strict=True) if n >= max(min_words, 1) and not limit}):
+            of = np.flatnonzero(count == n)
+            key = _runs(words.hash, n)[words.first[of]]
+            order = np.argsort(key, kind="stable")
+            self.exact.append((n, key[order], of[order]))
+        wanted = np.array(self.limit, np.int64) > 0
         # Entries: (item, first word of it that the window begins with, length that decides on the class).
-        pieces = [list(range(0, n - PIECE + 1, PIECE)) if n >= 2 * PIECE else [0] for n in count.tolist()]
+        pieces = [[] if not edits or n < min_words else list(range(0, n - PIECE + 1, PIECE)) if n >= 2 * PIECE else [0] for n, edits in zip(count.tolist(), wanted.tolist(), strict=True)]
         self.item = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
         self.shift = np.array([a for p in pieces for a in p], np.int64)
         begin, count = begin[self.item] + self.shift, np.where(count >= 2 * PIECE, PIECE, count)[self.item]
         random = np.random.default_rng(_SEED)
-        size = 1 << int(np.clip(64 * max(len(begin), 1), 1 << 14, 1 << 22) - 1).bit_length()
-        lows = sorted({1 << (n.bit_length() - 1) for n in count.tolist() if n >= MIN_WORDS})
+        lows = sorted({1 << (n.bit_length() - 1) for n in count.tolist()})
         self.repetitions = []
         for _ in range(repetitions if lows else 0):
             seed = np.uint64(random.integers(1 << 63))
@@ -77,9 +87,11 @@ class Index:
                 for place in places:
                     at, done = _walk(at, turns, done, place), place
                     key = tv.mix64(key ^ hashes[at])
+                    # Every word is held against the first filter, few against the others, which are packed.
+                    size = 1 << (max((64 if filters else 16) * len(of), 1 << 12) - 1).bit_length()
                     bits = np.zeros(size, bool)
                     bits[key & np.uint64(size - 1)] = True
-                    filters.append(bits)
+                    filters.append(np.packbits(bits, bitorder="little") if filters else bits)
                 order = np.argsort(key, kind="stable")
                 classes.append((places, filters, key[order], of[order]))
             self.repetitions.append((seed, sorted(classes, key=lambda c: c[0][0])))
@@ -93,14 +105,14 @@ class Index:
             turns = _turns(hashes, seed)
             every, reached = np.arange(len(hashes)), 0
             for places, filters, table, entry in classes:
-                mask = np.uint64(len(filters[0]) - 1)
                 every, reached = _walk(every, turns, reached, places[0]), places[0]
-                alive = np.flatnonzero(filters[0][symbol & mask][every])
+                alive = np.flatnonzero(filters[0][symbol & np.uint64(len(filters[0]) - 1)][every])
                 at, key, done = every[alive], symbol[every[alive]], places[0]
                 for place, bits in zip(places[1:], filters[1:], strict=True):
                     at, done = _walk(at, turns, done, place), place
                     key = tv.mix64(key ^ hashes[at])
-                    keep = np.flatnonzero(bits[key & mask])
+                    bit = key & np.uint64(8 * len(bits) - 1)
+                    keep = np.flatnonzero(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & np.uint8(1))
                     alive, at, key = alive[keep], at[keep], key[keep]
                 low, high = np.searchsorted(table, key), np.searchsorted(table, key, side="right")
                 starts.append(np.repeat(alive, high - low))
@@ -112,6 +124,32 @@ class Index:
         return pair // max(len(self.item), 1), pair % max(len(self.item), 1)
 
 
+    def whole(self, words: tv.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(document, item) of items that permit no edit, distinct and sorted."""
+        doc = words.doc_of_word()
+        found = [np.zeros(0, np.int64)]
+        for n, table, item in self.exact:
+            if len(words.hash) < n:
+                continue
+            start = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :])
+            key = _runs(words.hash, n)[start]
+            at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+            start, key = start[table[at] == key], key[table[at] == key]
+            low, high = np.searchsorted(table, key), np.searchsorted(table, key, side="right")
+            found.append(np.unique(np.repeat(doc[start], high - low) * len(self.ids) + item[tv.ranges(low, high - low)]))
+        pair = np.unique(np.concatenate(found))
+        return pair // max(len(self.ids), 1), pair % max(len(self.ids), 1)
+
+
+def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each word on."""
+    out = np.zeros(len(hashes), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(min(n, len(hashes))):
+            out[: len(hashes) - k] += tv.mix64(hashes[k:] ^ np.uint64(_SEED)) * np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64))
+    return tv.mix64(out)
+
+
 def _parted(words: tv.Words) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes with a 0 after each document, where a pointer rests; each document's begin."""
     docs = np.arange(len(words.first) - 1)
@@ -163,6 +201,8 @@ def _scan(index: object) -> Callable:
         """(row, item, distance) for everything that is in the batch."""
         its = index.value
         words = tv.Words(part.column("text").to_pylist())
+        for d, i in zip(*(x.tolist() for x in its.whole(words)), strict=True):
+            yield d, i, 0
         start, entry = its.candidates(words)
         doc = np.minimum(np.searchsorted(words.first, start, side="right") - 1, len(words.first) - 2)
         item, start = its.item[entry], start - its.shift[entry]  # where the item would begin, were there no edits before
@@ -198,21 +238,21 @@ def _scan(index: object) -> Callable:
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, repetitions: int = REPETITIONS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, repetitions: int = REPETITIONS, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, distance, item_words) for every item found in a document."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    slices = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    whole = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    slices = max(1, -(-whole["n"] // ITEMS_AT_ONCE), -(-(whole["chars"] or 0) // CHARS_AT_ONCE))
     out = None
     for i in range(slices):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i).orderBy("item_id", "text").collect() if slices > 1 else items.orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine], max_edits, repetitions))
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i).orderBy("item_id", "text").collect()
+        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine], max_edits, repetitions, min_words))
         one = identified(docs, "text").mapInArrow(_scan(index), "doc_id long, item_id long, distance int, item_words int")
         out = one if out is None else out.unionByName(one)
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.min_by("item_words", F.struct("distance", "item_words")).alias("item_words"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, repetitions: int = REPETITIONS) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, repetitions: int = REPETITIONS, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs in which no item is found; rows without doc_id stay."""
-    hit = settle(contaminated(docs, benchmark, max_edits, repetitions).select(F.col("doc_id").alias("__leak_hit")).distinct())
-    return docs.join(small(hit), F.col("doc_id") == F.col("__leak_hit"), "left_anti")
+    return without(docs, contaminated(docs, benchmark, max_edits, repetitions, min_words).select("doc_id").distinct())
