@@ -5,16 +5,18 @@ Listed URLs and the URLs to filter are made canonical: scheme, 'www.', port
 slash and 'index.html' do not matter, the rest of the query is sorted, host in
 lower case.  The list becomes a blocked Bloom filter: a hash picks one block of
 256 bits and BITS bits in it, so that a probe reads one block.  The blocks are
-rows, built by a distributed aggregation and joined to the URLs by broadcast;
-what passes meets the list in an exact join, which removes false positives.  A
-filter of more than MAX_BLOCKS blocks is not broadcast: then the exact join
-alone decides, by shuffle.
+rows, built by a distributed aggregation and joined to the URLs by their number:
+by broadcast up to MAX_BLOCKS blocks (40 bytes each), beyond by a shuffle of the
+URLs' hashes.  What passes meets the list in an exact join, which removes false
+positives.
 
 Everything runs in the JVM.  Defined results: null and empty URLs never match,
 and null or empty list entries list nothing; a URL that cannot be taken apart
 is compared as it is; repeated rows match each, repeated entries count once;
 an empty list matches nothing; other columns of pages are kept by ``matches``
-and ``drop_listed`` and may be named anything; an empty table gives no rows.
+and ``drop_listed`` and may be named anything (``matches`` puts its canonical URL
+in place of an own column ``canonical_url``); ``drop_listed`` goes by the URL of each
+row, whatever its page_id, null or repeated; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import named, settle, unused
 
 BITS, KEYS_PER_BLOCK, MAX_BLOCKS = 6, 16, 2_000_000
 _TRACKING = "^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
@@ -55,38 +57,44 @@ def _masks(key: Column) -> list[Column]:
     return words
 
 
-def bloom(listed: DataFrame) -> tuple[DataFrame, int]:
-    """(rows _block, _w0.._w3; number of blocks) for the distinct keys in column ``_key``."""
+def bloom(listed: DataFrame, key: str, names: list[str]) -> tuple[DataFrame, int]:
+    """(block, four words) of the distinct keys, under the given names; the number of blocks."""
     blocks = max(1, -(-listed.count() // KEYS_PER_BLOCK))
-    masks = _masks(F.col("__url_key"))
-    rows = listed.select(_block(F.col("__url_key"), blocks).alias("__url_block"), *(m.alias(f"__url_w{i}") for i, m in enumerate(masks)))
-    return rows.groupBy("__url_block").agg(*(F.bit_or(f"__url_w{i}").alias(f"__url_w{i}") for i in range(4))), blocks
+    rows = listed.select(_block(F.col(key), blocks).alias(names[0]), *(m.alias(n) for m, n in zip(_masks(F.col(key)), names[1:], strict=True)))
+    return rows.groupBy(names[0]).agg(*(F.bit_or(n).alias(n) for n in names[1:])), blocks
 
 
-def _passing(pages: DataFrame, listed: DataFrame, max_blocks: int) -> DataFrame:
-    """pages with ``_key``, less those that the filter excludes."""
-    keyed = pages.withColumn("__url_key", canonical(F.col("url"))).where("__url_key != ''")
-    blocks_frame, blocks = bloom(listed)
-    if blocks > max_blocks:
-        return keyed
-    hashed = keyed.withColumns({"__url_block": _block(F.col("__url_key"), blocks), **{f"__url_m{i}": m for i, m in enumerate(_masks(F.col("__url_key")))}})
-    hit = " AND ".join(f"__url_w{i} & __url_m{i} = __url_m{i}" for i in range(4))
-    return hashed.join(F.broadcast(blocks_frame), "__url_block").where(hit).select(*keyed.columns)
+def passing(keyed: DataFrame, listed: DataFrame, key: str, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """The rows whose key the filter lets through: all listed ones, and few others."""
+    names: list[str] = []
+    for i in range(10):
+        names.append(unused([*keyed.columns, *names], f"__url_{i}"))
+    found, blocks = bloom(listed, key, names[:5])
+    hashed = keyed.withColumns({names[5]: _block(F.col(key), blocks), **dict(zip(names[6:], _masks(F.col(key)), strict=True))})
+    hit = F.lit(True)
+    for word, mask in zip(names[1:5], names[6:], strict=True):
+        hit = hit & (F.col(word).bitwiseAND(F.col(mask)) == F.col(mask))
+    return hashed.join(F.broadcast(found) if blocks <= max_blocks else found, F.col(names[0]) == F.col(names[5])).where(hit).select(*(named(c) for c in keyed.columns))
 
 
-def listing(urls: DataFrame) -> DataFrame:
-    """The distinct canonical forms of column ``url``, as ``_key``."""
-    return settle(urls.select(canonical(F.col("url")).alias("__url_key")).where("__url_key != ''").distinct())
+def listing(urls: DataFrame, key: str = "__url_key") -> DataFrame:
+    """The distinct canonical forms of column ``url``."""
+    return settle(urls.select(canonical(F.col("url")).alias(key)).where(F.col(key) != "").distinct())
 
 
 def matches(pages: DataFrame, urls: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """The rows of pages whose canonical URL is listed, with it as ``canonical_url``."""
-    listed = listing(urls)
-    found = _passing(pages, listed, max_blocks).join(listed, "__url_key", "left_semi")
-    return found.select(*(F.col(f"`{c}`") for c in pages.columns if c != "canonical_url"), F.col("__url_key").alias("canonical_url"))
+    key = unused(pages.columns, "__url_key")
+    listed = listing(urls, key)
+    keyed = pages.withColumn(key, canonical(F.col("url"))).where(F.col(key) != "")
+    found = passing(keyed, listed, key, max_blocks).join(listed, key, "left_semi")
+    return found.select(*(F.col(named(c)) for c in pages.columns if c.lower() != "canonical_url"), F.col(key).alias("canonical_url"))
 
 
 def drop_listed(pages: DataFrame, urls: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """The rows of pages whose canonical URL is not listed; page_id tells pages apart."""
-    gone = matches(pages.select("page_id", "url"), urls, max_blocks).select(F.col("page_id").alias("__url_gone")).distinct()
-    return pages.join(gone, F.col("page_id") == F.col("__url_gone"), "left_anti")
+    """The rows of pages whose canonical URL is not listed."""
+    key = unused(pages.columns, "__url_key")
+    gone = unused([*pages.columns, key], "__url_gone")
+    found = settle(matches(pages.select("url"), urls, max_blocks).select(F.col("canonical_url").alias(gone)).distinct())
+    keyed = pages.withColumn(key, canonical(F.col("url")))
+    return keyed.join(found, F.col(key) == F.col(gone), "left_anti").select(*(F.col(named(c)) for c in pages.columns))
