@@ -6,8 +6,8 @@ the longest length at which any of them is known, 5 down to 1, gives the mean
 log frequency.  A document's score in a language is the sum over its words.
 
 The model is fitted on about FIT_DOCS labelled documents of each language,
-picked by a hash of doc_id; its tables hold the MODEL_ROWS most frequent words
-and n-grams, and go to the executors in one broadcast of bounded size.
+picked by a hash of doc_id; its tables hold every word and n-gram of these, and go to
+the executors in one broadcast, whose size FIT_DOCS bounds.
 Documents are scored where they lie: one scan, no shuffle, numpy over whole
 batches.
 
@@ -29,11 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import textvec as tv
-from .common import identified
+from .common import identified, in_small_batches
 
-FIT_DOCS, MODEL_ROWS, MIN_LEAD, LONGEST = 1000, 400_000, 0.01, 5
+FIT_DOCS, MIN_LEAD, LONGEST = 1000, 0.01, 5
 _SMOOTH = 0.1
 _BEGIN, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -71,7 +72,7 @@ def _count_model(languages: list[str]) -> Callable:
     return run
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, model_rows: int = MODEL_ROWS) -> tuple[list[str], dict[int, tuple[np.ndarray, np.ndarray]]]:
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list[str], dict[int, tuple[np.ndarray, np.ndarray]]]:
     """(languages, {0 for words or n-gram length: (sorted hashes, log frequency by language)})."""
     labelled = identified(docs, F.col("lang").cast("string").alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
@@ -81,9 +82,9 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, model_rows: int = MODEL_ROWS)
     rate = F.create_map(*(F.lit(x) for k in languages for x in (k, int(min(1.0, fit_docs / sizes[k]) * (1 << 30)))))
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate[F.col("lang")])
     counts = chosen.mapInArrow(_count_model(languages), "kind int, hash long, lang int, n long").groupBy("kind", "hash").agg(
-        *(F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(languages))), F.sum("n").alias("n")
+        *(F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(languages)))
     )
-    rows = counts.where("n > 1").orderBy(F.desc("n"), "hash").limit(model_rows).toArrow()
+    rows = counts.toArrow()
     kind, hashes = rows.column("kind").to_numpy(), rows.column("hash").to_numpy().view(np.uint64)
     n = np.stack([rows.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1).astype(np.float64)
     model = {}
@@ -163,15 +164,18 @@ def identify(docs: DataFrame, min_lead: float = MIN_LEAD, fit_docs: int = FIT_DO
 
 
 def keep_determined(docs: DataFrame, min_lead: float = MIN_LEAD, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """The rows of docs whose language is determined, as they are."""
-    languages_model = fit(docs, fit_docs)
-    model = docs.sparkSession.sparkContext.broadcast(languages_model)
+    """The rows of docs whose language is determined, with it in column ``lang``."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, fit_docs))
+    place, texts = docs.columns.index("lang"), docs.columns.index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow takes no names with dots
+    schema = StructType([StructField(f.name, StringType()) if i == place else f for i, f in enumerate(plain.schema.fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, tables = model.value
         for batch in batches:
-            for part in tv.slices(batch):
-                found = score(tv.Words(part.column("text").to_pylist()), len(languages), tables)
-                yield part.filter(pa.array(decide(*found, min_lead)[0] >= 0))
+            for part in tv.slices(batch, f"c{texts}"):
+                which = decide(*score(tv.Words(part.column(texts).to_pylist()), len(languages), tables), min_lead)[0]
+                found = pa.array([languages[i] if i >= 0 else None for i in which.tolist()], pa.string())
+                yield part.set_column(place, f"c{place}", found).filter(pa.array(which >= 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(plain).mapInArrow(run, schema).toDF(*docs.columns)
