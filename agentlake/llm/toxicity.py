@@ -1,19 +1,23 @@
 """Operator 4: toxicity by weak supervision.
 
 Voters are small lexicons and patterns that vote 'toxic' or abstain.  Besides
-those given here, single words that are much more frequent in documents labelled
-toxic become voters (found in about LABELLED_DOCS labelled documents, picked by a
-hash); how far to believe any voter is not taken from labels.
+those given here, words and beginnings of words (PREFIX characters; they count where two
+words have them) that are much more frequent in documents labelled toxic become voters (found in about LABELLED_DOCS
+labelled documents, picked by a hash): the MINED strongest each for itself, every other
+one as a further entry of the one that it resembles most (longest common beginning).
+How far to believe any voter is not taken from labels.
 
 A generative label model estimates it from the votes over all documents: votes
 are correlated because they share a hidden class.  Voters fall into blocks that
 vote together (a language's insults, say), each with a class of its own; within a
 block, covariances are a rank-one part (the accuracies) and a sparse rest (voters
 that depend on each other beyond the class), and third moments give the share of
-the class.  Voters that depend on others count less.  From there, EM_ROUNDS
+the class.  Voters that depend on others count less.  A mined voter that belongs to no
+block is believed as much as those in blocks are on average.  From there, EM_ROUNDS
 rounds of expectation maximisation over all vote patterns sharpen the estimates.
-A document is toxic if it is so in any block.  That posterior labels documents for a linear classifier over
-words (logistic regression), which judges all documents.
+A document is toxic if it is so in any block.  That posterior labels documents for a
+linear classifier over words and their beginnings (logistic regression), which judges
+all documents.
 
 All moments are exact counts over the whole corpus, summed from vote patterns by
 a distributed aggregation whose size does not depend on it.  The classifier is
@@ -29,6 +33,8 @@ no rows.
 
 from __future__ import annotations
 
+import copy
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +46,9 @@ from . import textvec as tv
 from .common import identified, settle, small
 
 FIT_DOCS, LABELLED_DOCS, MINED, FEATURES, LEAST_VOTES, EM_ROUNDS, DECISION = 12_000, 20_000, 80, 1 << 18, 5, 5, 0.5
+#: Characters of a word's beginning; least log ratio of frequencies of an entry, and log likelihood ratio against chance (10.5: some 3 in 100,000).
+PREFIX, LEAST_LIFT, LEAST_SURE = 5, 2.0, 10.5
+_BEGINNING = np.uint64(0x6A09E667F3BCC909)
 
 LEXICONS: list[str] = [
     "idiot idiots idiotic idiote idioten idiota idiotas", "moron morons moronic", "stupid stupidity stupide stupides dumm dumme dummkopf estúpido estúpida estúpidos",
@@ -59,15 +68,29 @@ def _hash(text: str) -> np.ndarray:
     return tv.Words([text]).hash
 
 
-def lexicon(mined: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sorted word hashes, voter of each, number of voters), with mined words as the last voters."""
+def beginnings(words: tv.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the words longer than PREFIX, hashes of their beginnings)."""
+    long = np.flatnonzero(words.end - words.start > PREFIX)
+    return long, words.span_hash(words.start[long], words.start[long] + PREFIX) ^ _BEGINNING
+
+
+def lexicon(mined: list[tuple[str, np.uint64]] | tuple = ()) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted hashes, voter of each, number of voters); mined: (text, hash), the strongest first."""
     listed = [_hash(x) for x in LEXICONS]
     known = np.concatenate(listed)
-    mined = mined[~np.isin(mined, known)]
-    word = np.concatenate([known, mined])
-    voter = np.concatenate([np.repeat(np.arange(len(listed)), [len(x) for x in listed]), len(BUILT_IN) + np.arange(len(mined))])
-    word, first = np.unique(word, return_index=True)
-    return word, voter[first], len(BUILT_IN) + len(mined)
+    heads: list[str] = []
+    voter = []
+    mined = [(text, h) for text, h in mined if h not in known]
+    for text, _ in mined:
+        if len(heads) < MINED:
+            heads.append(text)
+            voter.append(len(heads) - 1)
+        else:
+            voter.append(max(range(len(heads)), key=lambda i: (len(os.path.commonprefix([heads[i], text])), -i)))
+    entry = np.concatenate([known, np.array([h for _, h in mined], np.uint64)])
+    of = np.concatenate([np.repeat(np.arange(len(listed)), [len(x) for x in listed]), len(BUILT_IN) + np.array(voter, np.int64)])
+    entry, first = np.unique(entry, return_index=True)
+    return entry, of[first], len(BUILT_IN) + len(heads)
 
 
 def votes(words: tv.Words, lexicon: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
@@ -78,10 +101,14 @@ def votes(words: tv.Words, lexicon: tuple[np.ndarray, np.ndarray, int]) -> np.nd
     if not len(words.hash):
         return out
     doc = words.doc_of_word()
-    at = np.searchsorted(lexicon[0], words.hash)
-    at[at == len(lexicon[0])] = 0
-    hit = np.flatnonzero(lexicon[0][at] == words.hash)
-    out[doc[hit], lexicon[1][at[hit]]] = True
+    long, begin = beginnings(words)
+    for number, h, least in ((np.arange(len(doc)), words.hash, 1), (long, begin, 2)):
+        at = np.searchsorted(lexicon[0], h)
+        at[at == len(lexicon[0])] = 0
+        hit = np.flatnonzero(lexicon[0][at] == h)
+        pair, count = np.unique(doc[number[hit]] * len(lexicon[0]) + at[hit], return_counts=True)
+        pair = pair[count >= least]
+        out[pair // len(lexicon[0]), lexicon[1][pair % len(lexicon[0])]] = True
     many = len(LEXICONS)
     for phrase in PHRASES:
         h = _hash(phrase)
@@ -98,36 +125,55 @@ def votes(words: tv.Words, lexicon: tuple[np.ndarray, np.ndarray, int]) -> np.nd
 
 
 def _words_by_label() -> Callable:
-    """In how many toxic and other documents each word occurs, of a labelled part."""
+    """In how many toxic and other documents each word and beginning occurs, of a labelled part; one row for the whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.slices(batch):
                 words = tv.Words(part.column("text").to_pylist())
                 label = part.column("toxic").to_numpy(zero_copy_only=False) > 0
-                own = [np.unique(words.hash[a:b]) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-                word, back = np.unique(np.concatenate(own), return_inverse=True)
-                toxic = np.repeat(label, [len(x) for x in own])
-                out = np.concatenate([[0], tv.signed(word)]), np.concatenate([[label.sum()], np.bincount(back, toxic, minlength=len(word))]), np.concatenate([[len(label)], np.bincount(back, minlength=len(word))])
-                yield pa.RecordBatch.from_pydict({"whole": np.arange(len(word) + 1) == 0, **{k: x.astype(np.int64) for k, x in zip(("word", "toxic", "all"), out, strict=True)}})
+                doc = words.doc_of_word()
+                yield pa.RecordBatch.from_pydict({"kind": pa.array([0], pa.int32()), "word": pa.array([0], pa.int64()), "text": pa.array([""]), "toxic": pa.array([int(label.sum())]), "all": pa.array([len(label)])})
+                long, begin = beginnings(words)
+                for kind, number, h in ((1, np.arange(len(doc)), words.hash), (2, long, begin)):
+                    order = np.lexsort((h, doc[number]))
+                    new = np.ones(len(h), bool)
+                    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[number[order]][1:] != doc[number[order]][:-1])
+                    at = np.flatnonzero(new)
+                    at = order[at[np.diff(np.append(at, len(h))) >= kind]]
+                    word, first, back = np.unique(h[at], return_index=True, return_inverse=True)
+                    example = number[at[first]]
+                    end = words.end[example] if kind == 1 else words.start[example] + PREFIX
+                    text = [words.text(a, b) for a, b in zip(words.start[example].tolist(), end.tolist(), strict=True)]
+                    toxic = np.bincount(back, label[doc[number[at]]], minlength=len(word)).astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({"kind": np.full(len(word), kind, np.int32), "word": tv.signed(word), "text": pa.array(text, pa.string()), "toxic": toxic, "all": np.bincount(back, minlength=len(word)).astype(np.int64)})
 
     return run
 
 
-def mine(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLED_DOCS, most: int = MINED) -> np.ndarray:
-    """Hashes of the words most tied to the label 'toxic' (labels: doc_id, toxic)."""
+def mine(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLED_DOCS) -> list[tuple[str, np.uint64]]:
+    """(text, hash) of the words and beginnings tied to the label 'toxic' (labels: doc_id, toxic), the strongest first.
+
+    A beginning becomes one if it is in 1.3 times as many toxic documents as any single word with it.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rate = int(min(1.0, labelled_docs / max(own.count(), 1)) * (1 << 30))
     chosen = settle(own.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < rate))
-    counts = docs.join(small(chosen), "doc_id").mapInArrow(_words_by_label(), "whole boolean, word long, toxic long, all long").groupBy("whole", "word").agg(F.sum("toxic").alias("toxic"), F.sum("all").alias("all"))
-    counts = settle(counts.where("toxic >= 5 OR whole"))
-    whole = counts.where("whole").first()
+    counts = docs.join(small(chosen), "doc_id").mapInArrow(_words_by_label(), "kind int, word long, text string, toxic long, all long").groupBy("kind", "word").agg(F.min("text").alias("text"), F.sum("toxic").alias("toxic"), F.sum("all").alias("all"))
+    counts = settle(counts)
+    whole = counts.where("kind = 0").first()
     if whole is None or not whole["toxic"] or whole["toxic"] == whole["all"]:
-        return np.zeros(0, np.uint64)
+        return []
     lift = F.expr(f"ln((toxic + 0.5D) / {whole['toxic']}D) - ln((`all` - toxic + 0.5D) / {whole['all'] - whole['toxic']}D)")
-    best = counts.where("NOT whole").withColumn("lift", lift).where("lift > 2").orderBy(F.desc(F.expr("toxic * lift")), "word").limit(most).collect()
-    return np.array([r["word"] for r in best], dtype=np.int64).view(np.uint64)
+    share = whole["toxic"] / whole["all"]
+    sure = F.expr(f"toxic * ln(toxic / (`all` * {share}D)) + if(toxic < `all`, (`all` - toxic) * ln((`all` - toxic) / (`all` * {1 - share}D)), 0D)")
+    found = counts.where("kind > 0 AND toxic > 0").withColumn("lift", lift).where((F.col("lift") > LEAST_LIFT) & (sure >= LEAST_SURE)).orderBy(F.desc(F.expr("toxic * lift")), "word").collect()
+    most: dict[str, int] = {}
+    for r in found:
+        if r["kind"] == 1 and len(r["text"]) > PREFIX:
+            most[r["text"][:PREFIX]] = max(most.get(r["text"][:PREFIX], 0), r["toxic"])
+    return [(r["text"], np.int64(r["word"]).view(np.uint64)) for r in found if r["kind"] == 1 or r["toxic"] >= 1.3 * most.get(r["text"], 0)]
 
 
 def _patterns(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +246,7 @@ class Block:
         self.share = float(np.clip(share, 1e-6, 0.5))
         floor = 0.5 / self.total
         on_toxic, on_clean = np.clip(on_toxic, floor, 1 - 1e-3), np.clip(on_clean, floor, 1 - 1e-3)
+        self.on_toxic, self.on_clean = on_toxic, on_clean
         yes, no = np.log(on_toxic / on_clean), np.log((1 - on_toxic) / (1 - on_clean))
         self.weight = self.discount * (yes - no)
         self.bias = float(np.log(self.share / (1 - self.share)) + (self.discount * no).sum())
@@ -227,16 +274,16 @@ class LabelModel:
         c, p, scale = corr[np.ix_(a, a)], p[a], scale[a]
         off = ~np.eye(len(a), dtype=bool)
         used = off.copy()
-        u = np.full(len(a), 0.3)
+        u = _by_triples(c)
         for _ in range(3):
-            for _ in range(200):  # the rank-one part, over the pairs in use
-                u = 0.5 * u + 0.5 * (np.where(used, c, 0) @ u) / np.maximum((used * u**2).sum(axis=1), 1e-6)
-                u = np.clip(u, -0.99, 0.99)
             rest = np.abs(c - np.outer(u, u))
             dependent = off & (rest > max(0.2, 6 * np.median(rest[used]) if used.any() else 0.0))
             if (used & ~dependent).sum(axis=1).min() < 2:
                 break  # too few pairs would be left to tell a voter's accuracy
             used &= ~dependent
+            for _ in range(200):  # the rank-one part, over the pairs in use
+                u = 0.5 * u + 0.5 * (np.where(used, c, 0) @ u) / np.maximum((used * u**2).sum(axis=1), 1e-6)
+                u = np.clip(u, -0.99, 0.99)
         u = -u if u.sum() < 0 else u
         self.correlated += [(int(a[x]), int(a[y])) for x, y in zip(*np.nonzero(off & ~used), strict=True) if x < y]
         effect = u * scale
@@ -255,6 +302,21 @@ class LabelModel:
         discount = 1 / (1 + (np.where(off & ~used, np.abs(c), 0)).sum(axis=1))
         self.blocks.append(Block(a, share, p + (1 - share) * gap, p - share * gap, discount, total))
 
+    def add_lone(self, total: int, first: np.ndarray) -> None:
+        """Mined voters that no block holds are believed as much as lexicons and mined ones in blocks are on average."""
+        weight, sure, held = 0.0, 0.0, set()
+        for block in self.blocks:
+            held |= set(block.voters.tolist())
+            words = (block.voters < len(LEXICONS)) | (block.voters >= len(BUILT_IN))
+            voted, missed = block.share * block.on_toxic, (1 - block.share) * block.on_clean
+            count = first[block.voters] * words
+            weight, sure = weight + count.sum(), sure + (count * voted / (voted + missed)).sum()
+        for j in range(len(BUILT_IN), len(first)) if weight else ():
+            if j not in held and LEAST_VOTES <= first[j] < total:
+                p, precision = first[j] / total, min(sure / weight, 0.99)
+                share = min(p * precision, 0.5)
+                self.blocks.append(Block(np.array([j]), share, np.ones(1), np.array([p * (1 - precision) / (1 - share)]), np.ones(1), total))
+
     def posterior(self, found: np.ndarray) -> np.ndarray:
         clean = np.ones(len(found))
         for block in self.blocks:
@@ -262,6 +324,18 @@ class LabelModel:
         return 1 - clean
 
 
+def _by_triples(c: np.ndarray, least: float = 0.02) -> np.ndarray:
+    """First estimate of each voter's part in the class: the median over pairs of others, which a few dependent voters do not move."""
+    u = np.full(len(c), 0.3)
+    for i in range(len(c)):
+        others = np.delete(np.arange(len(c)), i)
+        among = c[np.ix_(others, others)]
+        x, y = np.nonzero(np.triu(among > least, 1))
+        if len(x):
+            u[i] = np.sqrt(np.clip(np.median(c[i, others[x]] * c[i, others[y]] / among[x, y]), 0, 0.98))
+    return u
+
+
 def _blocks(active: np.ndarray, corr: np.ndarray, least: float = 0.1) -> list[np.ndarray]:
     """Groups of three voters or more that correlation connects."""
     left, out = set(active.tolist()), []
@@ -294,11 +368,19 @@ def label_model(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray, int], ro
             toxic = sums.get((b, -1), 0.0)
             voted = np.array([sums.get((b, int(j)), 0.0) for j in block.voters])
             block.set(toxic / total, (voted + 0.1) / (toxic + 1), (first[block.voters] - voted + 0.1) / (total - toxic + 1))
+    model.add_lone(total, first)
     return model
 
 
 def _features(words: tv.Words) -> tuple[np.ndarray, np.ndarray]:
-    value, first = tv.shingles(words, 1)
+    """Buckets of each document's distinct words and beginnings."""
+    long, begin = beginnings(words)
+    doc = words.doc_of_word()
+    both = copy.copy(words)
+    order = np.argsort(np.concatenate([doc, doc[long]]), kind="stable")
+    both.hash = np.concatenate([words.hash, begin])[order]
+    both.first = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(words.first) - 1) + np.bincount(doc[long], minlength=len(words.first) - 1))])
+    value, first = tv.shingles(both, 1)
     return (value % np.uint64(FEATURES)).astype(np.int32), first
 
 
@@ -353,7 +435,7 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, fit_docs: int = FIT_
     """(doc_id, votes, posterior, score, toxic) of every document; labels (doc_id, toxic) add voters."""
     context = docs.sparkSession.sparkContext
     own = identified(docs, "text")
-    voters = lexicon(mine(own, labels) if labels is not None else np.zeros(0, np.uint64))
+    voters = lexicon(mine(own, labels) if labels is not None else ())
     model = label_model(own, voters)
     rate = int(min(1.0, fit_docs / max(own.count(), 1)) * (1 << 30))
     sent = context.broadcast((voters, model))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import random
 from fractions import Fraction
 
@@ -119,19 +120,96 @@ def test_decontamination_of_long_items(spark, kind):
 
 def test_decontamination_awkward(spark):
     bench = spark.createDataFrame([(1, "same text for all of us here"), (2, None), (3, ""), (None, "x " * 20), (4, " ".join(words(1, 30))), (4, " ".join(words(1, 30)))], "item_id long, text string")
-    docs = awkward(spark)
-    assert [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()] == [(4, 4)]
+    docs = awkward(spark).withColumn("a.b", F.lit(1)).withColumn("__leak_hit", F.lit(1)).withColumn("m", F.create_map(F.lit(1), F.lit(2)))
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()) == [(4, 4), (5, 1), (6, 1)]
     kept = decontam.keep_clean(docs, bench)
     assert kept.columns == docs.columns
-    assert kept.count() == 10
+    assert kept.count() == 7
+    assert decontam.keep_clean(docs, bench, min_words=8).count() == 10
     empty = spark.createDataFrame([], DOCS)
     assert decontam.contaminated(empty, bench).count() == 0
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_everywhere(spark):
+    items = {n: [f"q{n}", *words(40 + n, n - 1, 50)] for n in range(1, 13)}
+    rows = []
+    for d in range(240):
+        n = d % 12 + 1
+        text = words(d, 40, 50)
+        rows.append((d, " ".join([*text[: d % 41], *items[n], *text[d % 41 :]] if d // 12 % 2 else [*text, *items[n][:-1]]), "en", "a"))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.contaminated(frame(spark, rows), bench).collect()}
+    want = {(d, n): e for d, text, *_ in rows for n, w in items.items() if (e := _edits(w, text.split())) <= n // 10}
+    assert got == want
+    assert {n for _, n in want} == set(items)
+
+
+def test_index_of_many_items_is_small():
+    rng = random.Random(2)
+    index = decontam.Index([(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(10 + i % 50))) for i in range(5000)], 0.1, decontam.REPETITIONS)
+    assert len(pickle.dumps(index)) < 10_000_000
+
+
 # Toxicity (4)
 
 
+def _plain_votes(text, mined):
+    """Voter by voter, with Python's own strings."""
+    w = "".join(c.lower() if c.isalnum() or c == "_" else " " for c in text).split()
+    out = [any(x in entry.split() for x in w) for entry in toxicity.LEXICONS]
+    out.append(any(f" {p} " in f" {' '.join(w)} " for p in toxicity.PHRASES))
+    out.append(sum(c != c.lower() for c in text) > 0.4 * max(len(text), 1))
+    out.append(text.count("!") > 0.1 * max(len(w), 1))
+    return out + [x in w if kind == "word" else sum(v.startswith(x) and len(v) > len(x) for v in w) > 1 for x, kind in mined]
+
+
+def test_votes_moments_and_posteriors_against_plain_ones(spark):
+    rng = random.Random(3)
+    pool = ["idiot", "stupid", "clown", "scum", "trash", "zorkaa", "zorkab", "zorkabc", "blub", "SHUT", "up", "!", *words(1, 20)]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 14))) for _ in range(300)] + ["", "SHOUTING ALL DAY!"]
+    mined = [("zorka", tv.Words(["zorka"]).hash[0] ^ toxicity._BEGINNING), ("blub", tv.Words(["blub"]).hash[0])]
+    voters = toxicity.lexicon(mined)
+    found = toxicity.votes(tv.Words(texts), voters)
+    plain = np.array([_plain_votes(t, [("zorka", "prefix"), ("blub", "word")]) for t in texts])
+    assert (found == plain).all()
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).select("doc_id", "text")
+    patterns = docs.mapInArrow(toxicity._counted(voters), "voters array<int>, n long")
+    got = {(r["i"], r["j"], r["k"]): r["n"] for r in patterns.mapInArrow(toxicity._moments, "i int, j int, k int, n long").groupBy("i", "j", "k").agg(F.sum("n").alias("n")).collect()}
+    m = plain.shape[1]
+    want = {(i, j, k): int((plain[:, i] & plain[:, j] & plain[:, k]).sum()) for i in range(m) for j in range(i, m) for k in range(j, m)}
+    assert got == {k: n for k, n in want.items() if n} | {(-1, -1, -1): len(texts)}
+    block = toxicity.Block(np.array([0, 2, 5]), 0.1, np.array([0.7, 0.5, 0.9]), np.array([0.05, 0.1, 0.01]), np.ones(3), 1000)
+    for row, q in zip(plain, block.posterior(plain), strict=True):
+        both = [share * math.prod(p if row[j] else 1 - p for j, p in zip((0, 2, 5), rates, strict=True)) for share, rates in ((0.1, (0.7, 0.5, 0.9)), (0.9, (0.05, 0.1, 0.01)))]
+        assert q == pytest.approx(both[0] / sum(both))
+
+
+def test_label_model_recovers_planted_accuracies():
+    rng = np.random.default_rng(1)
+    total, share, on, off = 200_000, 0.08, np.array([0.8, 0.6, 0.5, 0.7, 0.4]), np.array([0.01, 0.02, 0.005, 0.03, 0.01])
+    toxic = rng.random(total) < share
+    found = rng.random((total, 5)) < np.where(toxic[:, None], on, off)
+    found = np.concatenate([found, (found[:, :1] & (rng.random((total, 1)) < 0.95))], axis=1)  # the last one follows the first
+    x = found.astype(np.int64)
+    third = {(i, j, k): int((x[:, i] * x[:, j] * x[:, k]).sum()) for i in range(6) for j in range(i, 6) for k in range(j, 6)}
+    model = toxicity.LabelModel(total, x.sum(axis=0), x.T @ x, third)
+    assert len(model.blocks) == 1 and (0, 5) in model.correlated
+    block = model.blocks[0]
+    assert block.share == pytest.approx(share, abs=0.02)
+    assert np.abs(block.on_toxic[:5] - on).max() < 0.12 and np.abs(block.on_clean[:5] - off).max() < 0.02
+    assert np.mean((model.posterior(found) > 0.5) == toxic) > 0.98
+
+
+def test_every_mined_word_votes():
+    mined = [(f"{a}{i:03}", tv.Words([f"{a}{i:03}"]).hash[0]) for i in range(60) for a in ("zork", "blub")]
+    entries, of, count = toxicity.lexicon(mined)
+    assert count == len(toxicity.BUILT_IN) + toxicity.MINED
+    voter = {w: int(of[np.searchsorted(entries, h)]) for w, h in mined}
+    heads = {v: w for w, v in reversed(list(voter.items()))}
+    assert all(heads[v][:4] == w[:4] for w, v in voter.items())
+
+
 def test_toxicity_without_and_with_labels(spark):
     rng = random.Random(0)
     insults, secret = ["idiot", "stupid", "moron", "scum", "loser", "trash"], [f"zork{i}" for i in range(8)]
@@ -280,12 +358,53 @@ def test_language_on_held_out_documents(spark):
     assert np.mean([out[i] == g for i, g in enumerate(truth)]) > 0.98
 
 
+def _plain_language(model_docs, text):
+    """(score by language, words with evidence): counts in dictionaries."""
+    cut = lambda t: "".join(c.lower() if c.isalnum() or c == "_" else " " for c in t).split()
+    grams = lambda w, n: [(w[i : i + n], i == 0, i + n == len(w)) for i in range(len(w) - n + 1)]
+    languages = sorted({g for _, g in model_docs})
+    tables = [{} for _ in range(langid.LONGEST + 1)]
+    for t, g in model_docs:
+        for w in cut(t):
+            for n in range(langid.LONGEST + 1):
+                for key in [w] if n == 0 else grams(w, n):
+                    tables[n].setdefault(key, dict.fromkeys(languages, 0))[g] += 1
+    sums = [{g: sum(c[g] for c in table.values()) + 0.1 * len(table) for g in languages} for table in tables]
+    log = lambda n, key, g: math.log((tables[n][key][g] + 0.1) / sums[n][g])
+    score, evidence = dict.fromkeys(languages, 0.0), 0
+    for w in cut(text):
+        known = [(0, [w])] if w in tables[0] else []
+        known += [(n, [k for k in grams(w, n) if k in tables[n]]) for n in range(langid.LONGEST, 0, -1)]
+        n, keys = next(((n, keys) for n, keys in known if keys), (0, []))
+        evidence += bool(keys)
+        for g in languages if keys else ():
+            score[g] += sum(log(n, k, g) for k in keys) / len(keys)
+    return score, evidence
+
+
+def test_language_against_a_plain_scorer(spark):
+    tongues = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ein", "ka"], "cc": ["eau", "ou", "mi"]}
+    rows = [(i, _language(i, tongues[g], 12), g, "a") for i, g in enumerate(sorted(tongues) * 15)]
+    fitted = [(t, g) for _, t, g, _ in rows]
+    rows += [(100 + i, _language(900 + i, tongues[g] + ["xyz", "qu"], 9), None, "a") for i, g in enumerate(sorted(tongues) * 15)] + [(200, "漢字 !!", None, "a"), (201, "zz ka", None, "a")]
+    for r in langid.identify(frame(spark, rows)).collect():
+        score, evidence = _plain_language(fitted, dict((d, t) for d, t, *_ in rows)[r["doc_id"]])
+        best = sorted(score.values(), reverse=True)
+        assert r["scored_words"] == evidence
+        assert r["lead"] == pytest.approx(best[0] - best[1], abs=1e-3)
+        if abs(best[0] - best[1] - langid.MIN_LEAD) > 1e-3:
+            assert r["language"] == (max(sorted(score), key=score.get) if evidence and best[0] - best[1] >= langid.MIN_LEAD else "und")
+
+
 def test_language_awkward(spark):
     docs = awkward(spark)
     out = {r["doc_id"]: r["language"] for r in langid.identify(docs).collect()}
     assert out[1] == out[2] == out[7] == "und"
     assert set(out) == {1, 2, 3, 4, 5, 6, 7, 8}
-    assert langid.keep_determined(docs).columns == docs.columns
+    docs = docs.withColumn("a.b", F.lit(1)).withColumn("m", F.create_map(F.lit(1), F.lit(2)))
+    kept = langid.keep_determined(docs)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"]: r["lang"] for r in kept.collect() if r["doc_id"]} == {d: g for d, g in out.items() if g != "und"}
     empty = spark.createDataFrame([], DOCS)
     assert langid.identify(empty).count() == 0
     assert {r["language"] for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}

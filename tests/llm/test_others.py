@@ -28,12 +28,24 @@ def test_canonical_urls(spark):
 
 @pytest.mark.parametrize("most", [urlfilter.MAX_BLOCKS, 0])
 def test_filter_has_no_misses_and_no_false_positives(spark, most):
-    pages = spark.createDataFrame([(i, f"http://h{i % 97}.com/p{i}/", "x") for i in range(3000)], "page_id long, url string, _key string").withColumn("__url", F.lit(1))
+    """0: the blocks are joined by shuffle."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 97}.com/p{i}/", "x") for i in range(3000)], "page_id long, url string, _key string").withColumn("__url_0", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("canonical_url", F.lit(3)).withColumn("__url_gone", F.lit(4))
     listed = spark.createDataFrame([(f"https://www.h{i % 97}.com/p{i}?utm_medium=z",) for i in range(0, 6000, 7)], "url string")
     got = urlfilter.matches(pages, listed, most)
     assert {r["page_id"] for r in got.collect()} == set(range(0, 3000, 7))
-    assert got.columns == [*pages.columns, "canonical_url"]
-    assert urlfilter.drop_listed(pages, listed, most).count() == 3000 - len(range(0, 3000, 7))
+    assert sorted(got.columns) == sorted(pages.columns)
+    kept = urlfilter.drop_listed(pages, listed, most)
+    assert kept.columns == pages.columns
+    assert {r["page_id"] for r in kept.collect()} == set(range(3000)) - set(range(0, 3000, 7))
+
+
+@pytest.mark.parametrize("most", [urlfilter.MAX_BLOCKS, 0])
+def test_filter_rejects_nearly_all_that_is_not_listed(spark, most):
+    keys = spark.range(20_000).select(F.concat(F.lit("e.com/"), "id").alias("key"), "id")
+    listed = keys.where("id % 20 = 0").select("key")
+    passed = {r["id"] for r in urlfilter.passing(keys, listed, "key", most).collect()}
+    assert set(range(0, 20_000, 20)) <= passed
+    assert len(passed) < 1000 + 0.03 * 19_000
 
 
 def test_filter_awkward(spark):
@@ -42,6 +54,7 @@ def test_filter_awkward(spark):
     assert sorted((r["page_id"] for r in urlfilter.matches(pages, listed).collect()), key=str) == [3, 3, None]
     assert urlfilter.matches(pages, listed.limit(0)).count() == 0
     assert urlfilter.matches(pages.limit(0), listed).count() == 0
+    assert sorted((r["page_id"] for r in urlfilter.drop_listed(pages, listed).collect()), key=str) == [1, 2, 4]
 
 
 # Merkle fixity (10)
