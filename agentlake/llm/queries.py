@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, jaccard, langid, mixing, tokencount, tokens, toxicity, urlfilter, vectordedup, warc
-from .common import table
+from .common import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,14 +42,12 @@ WHERE canonical_url <> '' AND canonical_url IN (SELECT canonical_url FROM keyed
 """
 
 _OP10_SQL = r"""
-WITH p AS (SELECT page_id AS number, coalesce(url, '') AS url, coalesce(html, '') AS html, substr(md5(page_id || '|' || coalesce(url, '')), 1, 2) AS fault FROM pages),
-both_sides AS (
-  SELECT number, fault,
-    sha256(number || E'\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ' || url || E'\r\nContent-Length: ' || strlen(html) || E'\r\n\r\n' || html || E'\r\n\r\n') AS primary_hash,
-    sha256(number || E'\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ' || url || E'\r\nContent-Length: ' || strlen(substr(html, 1, length(html) - 1)) || E'\r\n\r\n' || substr(html, 1, length(html) - 1) || E'\r\n\r\n') AS short_hash
-  FROM p
-)
-SELECT number, primary_hash, CASE WHEN fault = '00' THEN short_hash END AS replica_hash FROM both_sides WHERE fault IN ('00', '01')
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, substr(md5(page_id || '|' || coalesce(url, '')), 1, 2) AS fault FROM pages WHERE page_id IS NOT NULL),
+r AS (
+  SELECT page_id, fault, E'WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ' || url || E'\r\nContent-Length: ' || strlen(html) || E'\r\n\r\n' || html || E'\r\n\r\n' AS sound,
+    E'WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ' || url || E'\r\nContent-Length: ' || strlen(html) || E'\r\n\r\n' || substr(html, 1, length(html) - 1) || '~' || E'\r\n\r\n' AS damaged FROM p
+), o AS (SELECT *, sum(strlen(sound)) OVER (ORDER BY page_id, sha256(sound) ROWS UNBOUNDED PRECEDING) - strlen(sound) AS at FROM r)
+SELECT at::BIGINT AS "offset", sha256(sound) AS primary_hash, CASE WHEN fault = '00' THEN sha256(damaged) END AS replica_hash FROM o WHERE fault IN ('00', '01')
 """
 
 
@@ -120,12 +118,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op10_warc_fixity", _OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of a replica of all pages with faults put in: some records have lost their last character, some are missing."""
-    records = table(spark, sf_dir, "pages").select(F.col("page_id").alias("number"), "url", F.col("html").alias("payload"))
-    fault = F.substring(F.md5(F.concat(F.col("number").cast("string"), F.lit("|"), F.coalesce("url", F.lit("")))), 1, 2)
-    short = F.expr("substring(payload, 1, length(payload) - 1)")
-    replica = records.where(fault != "01").withColumn("payload", F.when(fault == "00", short).otherwise(F.col("payload")))
-    return warc.audit(records, replica)
+    """Audit of a replica of all pages with faults put in place: of some records the last character is wrong, some are missing."""
+    pages = table(spark, sf_dir, "pages")
+    sound, fault = warc.record(F.col("url"), F.col("html")), F.substring(F.md5(F.concat(F.col("page_id").cast("string"), F.lit("|"), F.coalesce("url", F.lit("")))), 1, 2)
+    damaged = F.replace(sound, F.col("html"), F.concat(F.expr("substring(html, 1, length(html) - 1)"), F.lit("~")))
+    hashes = pages.select(F.col("page_id").alias("number"), F.sha2(sound, 256).alias("hash"), F.octet_length(sound).alias("bytes"), fault.alias("fault"), F.when(fault == "00", F.sha2(damaged, 256)).alias("damaged"))
+    laid = settle(warc.laid_out(hashes).select("offset", "hash", "fault", "damaged"))
+    replica = laid.where("fault != '01'").select("offset", F.when(F.col("fault") == "00", F.col("damaged")).otherwise(F.col("hash")).alias("hash"))
+    return warc.audit(laid, replica)
 
 
 _OP9_SQL = """

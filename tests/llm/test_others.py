@@ -61,30 +61,46 @@ def test_filter_awkward(spark):
 
 
 def _records(spark, rows):
-    return spark.createDataFrame(rows, "number long, url string, payload string").withColumn("hash", F.lit("clash"))
+    rows = spark.createDataFrame(rows, "number long, url string, payload string")
+    text = warc.record(F.col("url"), F.col("payload"))
+    return rows.withColumns({"hash": F.sha2(text, 256), "bytes": F.octet_length(text), "node": F.lit("clash"), "range": F.lit("clash"), "a.b": F.lit(1)})
+
+
+def test_offsets_are_those_of_the_archive(spark):
+    rows = [(i // 3 if i % 2 else i, f"http://a/{i}", "x" * (i % 50)) for i in range(900)] + [(7, "same", "same")] * 40
+    got = sorted((r["offset"], r["number"], r["url"], r["payload"]) for r in warc.laid_out(_records(spark, [*rows, (None, "u", "p")])).collect())
+    text = lambda u, p: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {u}\r\nContent-Length: {len(p)}\r\n\r\n{p}\r\n\r\n"
+    order, at = sorted(rows, key=lambda r: (r[0], hashlib.sha256(text(*r[1:]).encode()).hexdigest())), 0
+    for (offset, *row), want in zip(got, order, strict=True):
+        assert offset == at and tuple(row) == want
+        at += len(text(*want[1:]))
 
 
 def test_audit_finds_exactly_the_faults(spark):
-    rows = [(i, f"http://a/{i}", f"<p>{i}</p>") for i in range(9000)]
-    other = [r for r in rows if r[0] not in (17, 8999)] + [(9500, "http://new", "n")]
-    other = [(i, u, p + "!" if i in (0, 63, 64, 4096) else p) for i, u, p in other]
-    got = {r["number"]: (r["primary_hash"], r["replica_hash"]) for r in warc.audit(_records(spark, rows), _records(spark, other)).collect()}
-    assert set(got) == {0, 63, 64, 4096, 17, 8999, 9500}
-    assert got[17][1] is None
-    assert got[9500][0] is None
-    text = "5\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/5\r\nContent-Length: 8\r\n\r\n<p>5</p>\r\n\r\n"
-    leaf = warc.leaves(_records(spark, rows)).where("node = 5").first()
-    assert leaf["hash"] == hashlib.sha256(text.encode()).hexdigest()
-    assert warc.audit(_records(spark, rows), _records(spark, rows[::-1])).count() == 0
+    rows = [(i, f"http://a/{i}", f"<p>{i}</p>" * 20) for i in range(9000)]
+    laid = warc.laid_out(_records(spark, rows))
+    laid = warc.settle(laid.select("offset", "hash", "number"))
+    at = {r["number"]: r["offset"] for r in laid.collect()}
+    other = laid.where("number NOT IN (17, 8999)").withColumn("hash", F.when(F.col("number").isin(0, 63, 64, 4096), "wrong").otherwise(F.col("hash")))
+    other = other.unionByName(spark.createDataFrame([(10**9, "new", 9500)], "offset long, hash string, number long"))
+    got = {r["offset"]: (r["primary_hash"], r["replica_hash"]) for r in warc.audit(laid, other).collect()}
+    assert set(got) == {at[i] for i in (0, 63, 64, 4096, 17, 8999)} | {10**9}
+    assert got[at[17]][1] is None
+    assert got[10**9] == (None, "new")
+    assert warc.audit(laid, laid).count() == 0
 
 
 def test_audit_awkward(spark):
-    a = _records(spark, [(1, None, None), (2, "", ""), (None, "u", "p"), (3, "u", "x" * 300_000), (4, "r", "r"), (4, "r", "r")])
-    b = _records(spark, [(1, "", ""), (2, "", ""), (3, "u", "x" * 300_000), (4, "r", "r")])
-    assert {r["number"] for r in warc.audit(a, b).collect()} == {1, 4}
+    frame_of = lambda rows: spark.createDataFrame(rows, "offset long, hash string").withColumn("node", F.lit("clash"))
+    a = frame_of([(1, "a"), (2, "b"), (None, "c"), (3, None), (4, "r"), (4, "r")])
+    b = frame_of([(1, "x"), (2, "b"), (4, "r")])
+    assert {r["offset"] for r in warc.audit(a, b).collect()} == {1, 4}
     assert warc.audit(a, a).count() == 0
     assert warc.audit(a.limit(0), b.limit(0)).count() == 0
-    assert {r["number"] for r in warc.audit(a, b.limit(0)).collect()} == {1, 2, 3, 4}
+    assert {r["offset"] for r in warc.audit(a, b.limit(0)).collect()} == {1, 2, 4}
+    assert warc.laid_out(_records(spark, [(None, "u", "p")])).count() == 0
+    hashes = {r["hash"] for r in _records(spark, [(1, None, ""), (1, "", ""), (1, "", None), (1, None, None)]).collect()}
+    assert len(hashes) == 4
 
 
 # Embeddings (9)
