@@ -491,10 +491,11 @@ def test_one_text_of_a_doc_id_counts(spark):
 # Token counts (8)
 
 
-def _by_hand(text, rule):
+def _by_hand(text, rule, starts=None):
     enc = bpe.encoding()
     sections, at = [], 0
-    for line in text.splitlines(keepends=True) or [""]:
+    cuts = [0, *(x for x in starts if 0 < x < len(text)), len(text)] if starts is not None else []
+    for line in [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] or text.splitlines(keepends=True) or [""]:
         sections.append((at, at + len(line)))
         at += len(line)
     out = [0.0] * len(sections)
@@ -527,6 +528,16 @@ def test_section_tokens_against_counting_by_hand(spark, rule):
         assert sum(r["tokens"] for r in mine) == pytest.approx(len(bpe.encoding().encode_ordinary(t)))
 
 
+@pytest.mark.parametrize("rule", tokencount.RULES)
+def test_given_sections_against_counting_by_hand(spark, rule):
+    rows = [(0, "title of it body of the text", [9, 3, 3, None, 99, -1, 0]), (1, "é ü ñ 漢字 🙂🙂 next", [1, 2, 3, 6, 7, 8, 9, 10]), (2, "no starts at all", None), (3, "", [0, 1]), (4, None, [0]), (5, "aaaaaaaaaaaaaaaaaaaaaaaa", [5, 6, 7])]
+    out = tokencount.section_tokens(spark.createDataFrame(rows, "doc_id long, text string, `a.b` array<long>"), rule, starts="a.b").orderBy("doc_id", "section").collect()
+    for i, t, own in rows:
+        mine = [r for r in out if r["doc_id"] == i]
+        assert [r["tokens"] for r in mine] == pytest.approx(_by_hand(t or "", rule, sorted({x for x in own or [] if x is not None}))), t
+        assert sum(r["chars"] for r in mine) == len(t or "")
+
+
 def test_section_tokens_awkward(spark):
     out = tokencount.section_tokens(awkward(spark)).collect()
     assert {r["doc_id"] for r in out} == {1, 2, 3, 4, 5, 6, 7, 8}
