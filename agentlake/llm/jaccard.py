@@ -61,7 +61,7 @@ RANGES = 2
 #: Min-hashes of a document; documents that make a bucket hot; buckets told apart; documents of a block.
 SIGNS, HOT_GROUP, HOT_BUCKETS, BLOCK_DOCS = 4, 128, 200_000, 2048
 #: Rows of a posting list, pairs of a key, and counted pairs held, beyond which they are split or passed on.
-LIST_ROWS, CELL_PAIRS, HELD_PAIRS = 20_000, 200_000, 2_000_000
+LIST_ROWS, CELL_PAIRS, HELD_PAIRS = 20_000, 200_000, 1_000_000
 _TOP = np.uint64(16)  # a fingerprint is the upper 40 of an n-gram's 56 bits
 
 
@@ -465,7 +465,7 @@ def _candidates(threshold: float) -> Callable:
 
         begin = 0
         while begin < len(count):
-            stop = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + _FLUSH, side="right")))
+            stop = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + _FLUSH // 4, side="right")))
             left = np.repeat(index[begin:stop], count[begin:stop])
             right = tv.ranges(index[begin:stop] + 1, count[begin:stop])
             begin = stop
