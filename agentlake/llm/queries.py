@@ -46,8 +46,8 @@ WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
 r AS (
   SELECT page_id, fault, E'WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ' || url || E'\r\nContent-Length: ' || strlen(html) || E'\r\n\r\n' || html || E'\r\n\r\n' AS sound,
     E'WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ' || url || E'\r\nContent-Length: ' || strlen(html) || E'\r\n\r\n' || substr(html, 1, length(html) - 1) || '~' || E'\r\n\r\n' AS damaged FROM p
-), o AS (SELECT *, sum(strlen(sound)) OVER (ORDER BY page_id, sha256(sound) ROWS UNBOUNDED PRECEDING) - strlen(sound) AS at FROM r)
-SELECT at::BIGINT AS "offset", sha256(sound) AS primary_hash, CASE WHEN fault = '00' THEN sha256(damaged) END AS replica_hash FROM o WHERE fault IN ('00', '01')
+), o AS (SELECT *, sum(strlen(sound)) OVER (ORDER BY page_id, sha256(sound) ROWS UNBOUNDED PRECEDING) - strlen(sound) AS begins FROM r)
+SELECT begins::BIGINT AS "offset", sha256(sound) AS primary_hash, CASE WHEN fault = '00' THEN sha256(damaged) END AS replica_hash FROM o WHERE fault IN ('00', '01')
 """
 
 
@@ -131,7 +131,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP9_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, min(embedding)::DOUBLE[] AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0 GROUP BY vec_id
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id
 ), d AS (SELECT len(embedding) AS n FROM embeddings WHERE vec_id IN (SELECT vec_id FROM v) GROUP BY n ORDER BY count(*) DESC, n LIMIT 1),
 s AS (SELECT vec_id, e FROM v WHERE len(e) = (SELECT n FROM d)),
 l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM s x JOIN s y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
