@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -31,3 +31,8 @@ def words(text: Column) -> Column:
 
 def iso_time(millis: Column) -> Column:
     return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once a row, however often it is used: as a generated one it is not merged into its uses."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))

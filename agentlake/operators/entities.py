@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze, trim_all
+from ..functions.text import once, squeeze, trim_all
+from .updates import holds_any
 
 NAME = r"((?:[A-Z][a-z]+\s)?[A-Z][a-z]+)"
 CLAUSE = r"([^\n.!?]+)"
@@ -34,6 +35,12 @@ PATTERNS: list[tuple[str, float, str, int, str]] = [
     ("project", 0.85, r"(?i)(?:milestone|release|sprint|initiative|project)\s+((?:[A-Z][\w-]+\s)?[A-Z][\w-]+)", 1, ""),
     ("project", 0.90, r"(?:\s|^)([A-Z][A-Z]+-[0-9]+)(?:\z|\s)", 1, ""),
 ]
+#: What a text must hold (in lower case) for the pattern of the same number to match; the regular expression runs over such texts alone.
+HINTS = [
+    "@", "spoke with|call with|talked to|email from|meeting with", "mentioned|proposed|said|suggested", "we'll|let's|decided to|going to", "resolution|decision", "picked|selected|chose",
+    "need to|have to|action item|must|should|todo", "]", "plan to|will|going to", "?", "?", "#", "database|deployment|testing|authentication|authorization|graphql|rest|api|devops|ci/cd",
+    "related to|concerning|regarding|about", "milestone|release|sprint|initiative|project", "-",
+]
 NOISE = set("a an the i it he she we they you this that these those is be are was were been do did does has had have if or and but else then".split())
 NOISE_OF = {"person": {"admin", "assistant", "bot", "system", "user"}, "topic": {"issue", "problem", "stuff", "thing"}}
 NICKNAMES = {
@@ -79,6 +86,8 @@ def mentions(messages: DataFrame, patterns: list[tuple] | None = None) -> DataFr
     found = []
     for number, (kind, confidence, regex, group, shape) in enumerate(patterns or PATTERNS):
         hits = F.regexp_extract_all(F.col("content"), F.lit(regex), F.lit(group))
+        if patterns is None:
+            hits = F.when(holds_any(F.col("_low"), HINTS[number]), hits).otherwise(F.expr("cast(array() as array<string>)"))
         if shape:
             hits = F.transform(hits, trim_all)
         if shape == "clip":
@@ -86,7 +95,7 @@ def mentions(messages: DataFrame, patterns: list[tuple] | None = None) -> DataFr
         if shape == "lower":
             hits = F.transform(hits, F.lower)
         found.append(_labelled(hits, number, kind, confidence))
-    rows = messages.select("message_id", "conversation_id", "sequence_num", "created_at", F.explode(F.flatten(F.array(*found))).alias("e")).select("message_id", "conversation_id", "sequence_num", "created_at", "e.*")
+    rows = once(messages, "_low", F.lower("content")).select("message_id", "conversation_id", "sequence_num", "created_at", F.explode(F.flatten(F.array(*found))).alias("e")).select("message_id", "conversation_id", "sequence_num", "created_at", "e.*")
     kind, name = F.col("entity_type"), F.col("name")
     rows = rows.where(F.length(name).between(2, 150) & ~is_noise(name, kind)).withColumn("canonical_name", canonical_name(name, kind))
     return rows.withColumn("entity_id", entity_id(kind, F.col("canonical_name")))

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+from .updates import holds_any
+
 TECHNOLOGIES: list[tuple[str, str, str]] = [
     ("backend_framework", "Django", "django"), ("backend_framework", "Express", r"express\.js|express"), ("backend_framework", "FastAPI", "fastapi"), ("backend_framework", "Flask", "flask"),
     ("backend_framework", "NestJS", r"nestjs|nest\.js"), ("database", "MongoDB", "mongo|mongodb"), ("database", "MySQL", "mysql"), ("database", "PostgreSQL", "postgres|postgresql"),
@@ -30,6 +33,16 @@ DOMAINS: list[tuple[str, str]] = [
 ]
 
 
+def _fragments(pattern: str) -> str:
+    """What a text must hold, in lower case, for any of a pattern's alternatives to match."""
+    return pattern.replace("\\\\", "\\").replace("\\b", "").replace("\\.", ".").lower()
+
+
+def occurrences(content: Column, pattern: str) -> Column:
+    """Matches in any case; the regular expression runs over texts alone that hold one of its fragments (column ``_low``: the text in lower case)."""
+    return F.when(holds_any(F.col("_low"), _fragments(pattern)), F.regexp_count(content, F.lit(f"(?i){pattern}"))).otherwise(0)
+
+
 def _unpivoted(messages: DataFrame, by: list[str], columns: dict[str, Column]) -> DataFrame:
     """(by..., name, value) of one aggregation."""
     wide = messages.groupBy(*by).agg(*(c.alias(f"_{i}") for i, c in enumerate(columns.values())))
@@ -40,7 +53,7 @@ def _unpivoted(messages: DataFrame, by: list[str], columns: dict[str, Column]) -
 def technologies(messages: DataFrame, by: list[str] | None = None, least: int = 3) -> DataFrame:
     """Occurrences of each technology, with confidence n / 10 up to 1."""
     by = by or []
-    counts = _unpivoted(messages, by, {f"{c}/{n}": F.sum(F.regexp_count("content", F.lit(f"(?i){p}"))) for c, n, p in TECHNOLOGIES})
+    counts = _unpivoted(once(messages, "_low", F.lower("content")), by, {f"{c}/{n}": F.sum(occurrences(F.col("content"), p)) for c, n, p in TECHNOLOGIES})
     rows = counts.where(F.col("value") >= least)
     return rows.select(*by, F.split_part("name", F.lit("/"), F.lit(1)).alias("category"), F.split_part("name", F.lit("/"), F.lit(2)).alias("value"), F.col("value").cast("long").alias("evidence_count"), F.least(F.col("value") / 10, F.lit(1.0)).alias("confidence"))
 
@@ -48,7 +61,7 @@ def technologies(messages: DataFrame, by: list[str] | None = None, least: int =
 def domains(messages: DataFrame, by: list[str] | None = None, least: int = 5) -> DataFrame:
     """The domain with most occurrences, if there are enough."""
     by = by or []
-    counts = _unpivoted(messages, by, {d: F.sum(F.regexp_count("content", F.lit(f"(?i){p}"))) for d, p in DOMAINS})
+    counts = _unpivoted(once(messages, "_low", F.lower("content")), by, {d: F.sum(occurrences(F.col("content"), p)) for d, p in DOMAINS})
     top = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("value"), "name")
     rows = counts.withColumn("_n", F.row_number().over(top)).where((F.col("_n") == 1) & (F.col("value") >= least))
     return rows.select(*by, F.col("name").alias("domain"), F.col("value").cast("long").alias("evidence_count"), F.least(F.col("value") / 15, F.lit(1.0)).alias("confidence"))
@@ -57,7 +70,7 @@ def domains(messages: DataFrame, by: list[str] | None = None, least: int = 5) ->
 def roles(messages: DataFrame, by: list[str] | None = None, least: float = 3) -> DataFrame:
     """The role that most messages hint at, by weight."""
     by = by or []
-    counts = _unpivoted(messages, by, {r: F.count_if(F.col("content").rlike(f"(?i){p}")) * F.lit(w) for r, p, w in ROLES})
+    counts = _unpivoted(once(messages, "_low", F.lower("content")), by, {r: F.count_if(holds_any(F.col("_low"), p)) * F.lit(w) for r, p, w in ROLES})
     top = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("value"), "name")
     return counts.withColumn("_n", F.row_number().over(top)).where((F.col("_n") == 1) & (F.col("value") >= least)).select(*by, F.col("name").alias("role"), F.col("value").alias("score"))
 

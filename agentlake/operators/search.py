@@ -2,8 +2,9 @@
 
 Statistics come from the live messages.  A query looks at its own terms only: their
 frequencies are counted inside each message's word array, so that a search is one
-scan with a small aggregate and a top-k, and the corpus is never exploded.  For many
-queries, ``postings`` can be stored, bucketed by term.
+scan with a small aggregate and a top-k.  A stemmed search first looks up the words
+of its stems: in a stored ``vocabulary``, or by a scan that keeps only words that begin
+as a stem does.  For many queries, ``postings`` can be stored, bucketed by term.
 """
 
 from __future__ import annotations
@@ -36,15 +37,24 @@ def query_terms(spark_text: str, stemmed: bool) -> list[str]:
     return list(dict.fromkeys(stem(w) for w in found)) if stemmed else list(found)
 
 
-def vocabulary(messages: DataFrame) -> DataFrame:
-    """(word, term): stems of the distinct words, in Python once a word and not once an occurrence."""
-    return messages.select(F.explode(words(F.col("content"))).alias("word")).distinct().withColumn("term", _stems("word"))
+def vocabulary(messages: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """(word, term): stems of the distinct words, in Python once a word and not once an occurrence.
+
+    With terms, of the words alone that may have one of these as their stem: stemming
+    changes the last two letters of what it keeps at most.
+    """
+    found = words(F.col("content"))
+    if terms is not None:
+        heads = sorted({t[: max(1, len(t) - 2)] for t in terms})
+        found = F.filter(found, lambda w: F.reduce(F.array(*(F.lit(h) for h in heads)), F.lit(False), lambda hit, h: hit | F.startswith(w, h)))
+    return messages.select(F.explode(found).alias("word")).distinct().withColumn("term", _stems("word"))
 
 
 def postings(messages: DataFrame, stemmed: bool = True) -> DataFrame:
     """(term, message_id, tf, length) for storage, bucketed by term."""
-    length = F.size(words(F.col("content")))
-    rows = messages.select("message_id", length.alias("length"), F.explode(words(F.col("content"))).alias("word")).groupBy("word", "message_id", "length").agg(F.count("*").alias("tf"))
+    # The words are a column of their own before they are exploded, else each row would be cut up again.
+    cut = messages.select("message_id", F.explode(F.array(F.struct(words(F.col("content")).alias("w")))).alias("c")).select("message_id", F.size("c.w").alias("length"), F.col("c.w").alias("w"))
+    rows = cut.select("message_id", "length", F.explode("w").alias("word")).groupBy("word", "message_id", "length").agg(F.count("*").alias("tf"))
     if not stemmed:
         return rows.withColumnRenamed("word", "term")
     return rows.join(vocabulary(messages), "word").groupBy("term", "message_id", "length").agg(F.sum("tf").alias("tf"))
@@ -54,14 +64,14 @@ def _count_of(forms: list[str]) -> Column:
     return F.size(F.filter("_words", lambda w: w.isin(forms)))
 
 
-def bm25(messages: DataFrame, query: str, stemmed: bool = True) -> DataFrame:
-    """messages that hold every term, with ``bm25`` (higher is better); no term, no rows."""
+def bm25(messages: DataFrame, query: str, stemmed: bool = True, known: DataFrame | None = None) -> DataFrame:
+    """messages that hold every term, with ``bm25`` (higher is better); no term, no rows.  known: a stored vocabulary."""
     terms = query_terms(query, stemmed)
     if not terms:
         return messages.withColumn("bm25", F.lit(0.0)).where(F.lit(False))
     forms: dict[str, list[str]] = {t: [t] for t in terms}
     if stemmed:
-        found = vocabulary(messages).where(F.col("term").isin(terms)).collect()  # words of a few stems
+        found = (vocabulary(messages, terms) if known is None else known).where(F.col("term").isin(terms)).collect()  # words of a few stems
         forms = {t: sorted(r["word"] for r in found if r["term"] == t) or [t] for t in terms}
     counted = messages.withColumn("_words", words(F.col("content")))
     counted = counted.withColumns({"_length": F.size("_words"), **{f"_tf{i}": _count_of(forms[t]) for i, t in enumerate(terms)}})

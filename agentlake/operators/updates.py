@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 URGENT: list[tuple[str, int]] = [
-    ("emergency|critical|immediately|asap|urgent", 10), ("due (?:soon|tomorrow|today)|deadline", 9), ("crash|bug|error|failing|broken|breaking", 9), ("exploit|vulnerability|security", 10),
+    ("urgent|asap|immediately|critical|emergency", 10), ("deadline|due today|due tomorrow|due soon", 9), ("breaking|broken|failing|error|bug|crash", 9), ("security|vulnerability|exploit", 10),
 ]
-BLOCKING: list[tuple[str, int]] = [("need help|waiting|stuck|blocker|blocked", 8), ("won't work|unable to|cannot|can't", 7), ("depends on|dependency|prerequisite", 7)]
+BLOCKING: list[tuple[str, int]] = [("blocked|blocker|stuck|waiting|need help", 8), ("can't|cannot|unable to|won't work", 7), ("dependency|depends on|prerequisite", 7)]
+
+
+def holds_any(low: Column, words: str) -> Column:
+    """Whether a text in lower case holds one of the words (given between bars): plain searches, no regular expression."""
+    return reduce(lambda a, b: a | b, (low.contains(w) for w in words.split("|")))
 
 
-def category(content: Column) -> tuple[Column, Column]:
-    """(category, priority) by the first pattern that matches: urgent, blocking, else informational."""
-    kind = level = None
-    for name, patterns in (("urgent", URGENT), ("blocking", BLOCKING)):
-        for pattern, priority in patterns:
-            hit = content.rlike(f"(?i){pattern}")
-            kind = F.when(hit, name) if kind is None else kind.when(hit, name)
-            level = F.when(hit, priority) if level is None else level.when(hit, priority)
-    return kind.otherwise("informational"), level.otherwise(5)
+def categorised(low: Column) -> Column:
+    """struct(category, priority) of a text in lower case by the first words that are found: urgent, blocking, else informational."""
+    out = None
+    for name, listed in (("urgent", URGENT), ("blocking", BLOCKING)):
+        for words, priority in listed:
+            value = F.struct(F.lit(name).alias("category"), F.lit(priority).alias("priority"))
+            out = F.when(holds_any(low, words), value) if out is None else out.when(holds_any(low, words), value)
+    return out.otherwise(F.struct(F.lit("informational").alias("category"), F.lit(5).alias("priority")))
 
 
-def default_category(content: Column) -> tuple[Column, Column]:
-    return F.lit("informational"), F.when(content.contains("?"), 6).otherwise(5)
+def default_category(content: Column) -> Column:
+    return F.struct(F.lit("informational").alias("category"), F.when(content.contains("?"), 6).otherwise(5).alias("priority"))
 
 
 def short_text(content: Column) -> Column:
@@ -34,8 +42,12 @@ def short_text(content: Column) -> Column:
 
 def updates_since(messages: DataFrame, entities: DataFrame | None, since: int, limit: int | None = 20, categorise: bool = True) -> DataFrame:
     """New messages and new decisions and actions, most urgent first."""
-    kind, level = (category if categorise else default_category)(F.col("content"))
-    rows = messages.where(F.col("created_at") > since).select(F.col("message_id").alias("id"), F.lit("message").alias("source"), kind.alias("category"), level.alias("priority"), short_text(F.col("content")).alias("description"), "created_at")
+    fresh = messages.where(F.col("created_at") > since).select("message_id", "content", "created_at")
+    if categorise:
+        fresh = once(once(fresh, "_low", F.lower("content")), "_kind", categorised(F.col("_low")))
+    else:
+        fresh = once(fresh, "_kind", default_category(F.col("content")))
+    rows = fresh.select(F.col("message_id").alias("id"), F.lit("message").alias("source"), "_kind.category", "_kind.priority", short_text(F.col("content")).alias("description"), "created_at")
     if entities is not None:
         fresh = entities.where((F.col("first_mentioned") > since) & F.col("entity_type").isin("decision", "action"))
         level = F.when(F.col("entity_type") == "action", 8).otherwise(7)
