@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import settle
+from ..checkpoints import settle, shared_root
 
-__all__ = ["BROADCAST_IDS", "identified", "in_small_batches", "named", "partitions", "settle", "shared_folder", "small", "table", "unused", "without"]
+__all__ = ["BROADCAST_IDS", "identified", "in_small_batches", "named", "partitions", "remove", "settle", "shared_folder", "small", "table", "unused", "without"]
 
 #: Rows of ids that may be sent to every executor (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -61,6 +60,11 @@ def without(docs: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFram
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/tables-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="tables-")
+    """A new folder in the shared one."""
+    return f"{shared_root(spark)}/tables-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
