@@ -2,7 +2,8 @@
 
 Every stage works on all that its predecessor kept, and all but the last
 return the columns of documents.  Between stages the documents are written as
-Parquet and read again, so that a lost executor costs one stage at most.
+Parquet and read again, so that a lost executor costs one stage at most; a stage's
+table is deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from agentlake.llm import decontam, jaccard, langid, mixing, tokens
-from agentlake.llm.common import shared_folder, table
+from agentlake.llm.common import remove, shared_folder, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be determined (operator 6)."""
+    """Documents whose language can be determined, with it as their lang (operator 6)."""
     return langid.keep_determined(docs)
 
 
@@ -60,5 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(path := f"{folder}/{k}-{name}.parquet")
-            docs = spark.read.parquet(path)
+            if k:
+                remove(spark, last)
+            docs, last = spark.read.parquet(path), path
     return docs
