@@ -1,7 +1,7 @@
 """One object over a store of Parquet tables: import, ingest, search, assemble, compact, report.
 
-Tables live under one folder, partitioned by user_id where there are many users;
-each call reads what it needs and appends, never rewriting history.
+Tables live under one folder (of each user, see ``users``); each call reads what it
+needs and appends; ``vacuum`` alone rewrites, into few files.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.tokens import token_count
-from .operators import assembly, search, store
+from .operators import assembly, records, search, store
 from .sources import sessions
 
 MESSAGE = "message_id string, conversation_id string, role string, content string, tokens long, sequence_num int, created_at long, model_family string, metadata string"
+CONVERSATION = "conversation_id string, session_key string, title string, created_at long, updated_at long, metadata string"
 EVENT = "event_id string, conversation_id string, messages_before int, messages_after int, tokens_before long, tokens_after long, dropped_message_ids array<string>, strategy string, created_at long"
 
 
@@ -29,18 +30,51 @@ class Engine:
     model_family: str = "claude"
     strategy: str = "hybrid"
     max_tokens: int = 8000
-    schemas: dict[str, str] = field(default_factory=lambda: {"messages": MESSAGE, "compactions": EVENT})
+    schemas: dict[str, str] = field(default_factory=lambda: {"messages": MESSAGE, "compactions": EVENT, "conversations": CONVERSATION})
+
+    def _where(self, name: str) -> tuple[object, object]:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, name: str) -> bool:
+        where, system = self._where(name)
+        return bool(system.exists(where))
 
     def table(self, name: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        if self.exists(name):
             return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}")
         return self.spark.createDataFrame([], self.schemas[name])
 
     def _append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.path}/{name}")
 
+    def create_conversation(self, session_key: str, as_of: int, title: str | None = None, metadata: str | None = None, conversation_id: str | None = None) -> str:
+        """The id of a new conversation; a session key that is known is an error."""
+        now = self.table("conversations")
+        if now.where(F.col("session_key") == session_key).limit(1).count():
+            raise ValueError(f"the session exists: {session_key}")
+        new = self.spark.createDataFrame([(conversation_id, session_key, title, metadata)], "conversation_id string, session_key string, title string, metadata string")
+        added = records.add(now.limit(0), new, as_of, "conversation_id")
+        self._append("conversations", added)
+        return conversation_id or added.first()["conversation_id"]
+
+    def vacuum(self, name: str, files: int = 1) -> int:
+        """Rewrite a table into so many files beside it and put it in its place; the number of its rows."""
+        where, system = self._where(name)
+        if not system.exists(where):
+            return 0
+        rows = self.table(name)
+        rows.coalesce(files).write.mode("overwrite").parquet(f"{self.path}/{name}.new")
+        new, _ = self._where(f"{name}.new")
+        old, _ = self._where(f"{name}.old")
+        system.rename(where, old)
+        system.rename(new, where)
+        system.delete(old, True)
+        return self.table(name).count()
+
+    def export(self, path: str) -> None:
+        store.export_jsonl(self.table("messages"), path)
+
     def bootstrap(self, session_path: str, as_of: int, session_key: str | None = None, use_original_timestamp: bool = False) -> dict[str, int]:
         """Import a session file or folder; a given key replaces the file's name."""
         read = sessions.read_sessions(self.spark, session_path, as_of, self.model_family, use_original_timestamp).drop("parsed_lines")

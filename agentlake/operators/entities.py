@@ -105,9 +105,10 @@ def merged(found: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One row for each entity (of each message, with by=['message_id']): first name kept, others are aliases."""
     order = F.struct("created_at", "sequence_num", "message_id", "pattern_no", "match_no")
     keys = [*(by or []), "entity_id", "entity_type", "canonical_name"]
+    place = [F.min(F.struct("pattern_no", "match_no")).alias("position")] if by and "message_id" in by else []
     return found.groupBy(*keys).agg(
         F.min_by("name", order).alias("name"), F.count("*").alias("mention_count"), F.max("confidence").alias("confidence"),
-        F.min("created_at").alias("first_mentioned"), F.max("created_at").alias("last_mentioned"), F.array_sort(F.collect_set("name")).alias("names"),
+        F.min("created_at").alias("first_mentioned"), F.max("created_at").alias("last_mentioned"), F.array_sort(F.collect_set("name")).alias("names"), *place,
     ).withColumn("aliases", F.array_except("names", F.array("name"))).drop("names")
 
 
@@ -185,3 +186,13 @@ def resolve_names(entities: DataFrame, kind: str, scope: str = "conversation_id"
         return pd.DataFrame(out, columns=schema.names)
 
     return rows.select(*schema.names).groupBy(scope).applyInPandas(run, schema)
+
+
+def resolve(entities: DataFrame, scope: str = "conversation_id") -> DataFrame:
+    """All entities by the rules of their types: people, topics and projects are merged, the others stay as they are."""
+    columns = ["entity_id", "entity_type", "canonical_name", "name", "mention_count", "confidence", "first_mentioned", "last_mentioned"]
+    out = entities.where(~F.col("entity_type").isin("person", "topic", "project")).select(*columns)
+    out = out.unionByName(resolve_people(entities).select(*columns))
+    for kind in ("topic", "project"):
+        out = out.unionByName(resolve_names(entities, kind, scope).withColumn("entity_type", F.lit(kind)).select(*columns))
+    return out

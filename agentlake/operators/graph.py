@@ -6,11 +6,13 @@ created_at.  A node's key is 'type:id'.  "Either end" joins are written as two e
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import settle
-from .entities import mentions, merged
+from .entities import entity_id, mentions, merged, person_key
 
 LOOKBACK, FLOOR, WINDOW = 10, 0.5, 3_600_000
 REFERENCES = r"(?i)(?:as (?:they|we|you|i) (?:noted|said|mentioned)|like \w+ said|mentioned (?:previously|earlier|above)|(?:check|see) (?:earlier|previous|above)|following up on|regarding (?:the|your) (?:message|comment|question))"
@@ -48,10 +50,10 @@ def message_edges(messages: DataFrame, lookback: int = LOOKBACK, window: int = W
 
 
 def co_occurrence(per_message: DataFrame) -> DataFrame:
-    """Pairs of entities within a message, 0.6 of the lesser confidence."""
-    one = per_message.select("message_id", F.col("entity_id").alias("a"), F.col("confidence").alias("ca"), F.col("last_mentioned").alias("at"))
-    two = per_message.select("message_id", F.col("entity_id").alias("b"), F.col("confidence").alias("cb"))
-    return one.join(two, "message_id").where("a < b").select(*_edge(F.col("a"), F.col("b"), "relates_to", F.least("ca", "cb") * 0.6, F.col("at"), "entity", "entity"))
+    """Pairs of entities within a message, from the one that was found first, 0.6 of the lesser confidence."""
+    one = per_message.select("message_id", F.col("position").alias("pa"), F.col("entity_id").alias("a"), F.col("confidence").alias("ca"), F.col("last_mentioned").alias("at"))
+    two = per_message.select("message_id", F.col("position").alias("pb"), F.col("entity_id").alias("b"), F.col("confidence").alias("cb"))
+    return one.join(two, "message_id").where("pa < pb").select(*_edge(F.col("a"), F.col("b"), "relates_to", F.least("ca", "cb") * 0.6, F.col("at"), "entity", "entity"))
 
 
 def typed_edges(per_message: DataFrame) -> DataFrame:
@@ -73,14 +75,88 @@ def overlap_edges(messages: DataFrame, per_message: DataFrame, lookback: int = L
     return both.withColumn("_j", j).where("_j > 0.3").select(*_edge(F.col("message_id"), F.col("prev_message_id"), "relates_to", F.col("_j") * 0.7, F.col("created_at")))
 
 
-def build(messages: DataFrame, min_strength: float = FLOOR) -> tuple[DataFrame, DataFrame]:
-    """(entities, edges) of all messages in one batch; edges below the floor are dropped."""
+@dataclass(frozen=True)
+class Options:
+    """What detection looks for, and how far."""
+
+    lookback: int = LOOKBACK
+    window: int = WINDOW
+    min_strength: float = FLOOR
+    explicit: bool = True
+    co_occurrence: bool = True
+    typed: bool = True
+    overlap: bool = True
+    resolve: bool = False
+
+
+def detect(messages: DataFrame, per_message: DataFrame, options: Options | None = None) -> DataFrame:
+    """All edges of messages and of the entities in each; edges below the floor are dropped."""
+    o = options or Options()
+    edges = mention_edges(per_message).unionByName(message_edges(messages, o.lookback, o.window, o.explicit))
+    for wanted, more in ((o.co_occurrence, co_occurrence), (o.typed, typed_edges)):
+        edges = edges.unionByName(more(per_message)) if wanted else edges
+    if o.overlap:
+        edges = edges.unionByName(overlap_edges(messages, per_message, o.lookback, o.window))
+    return edges.where(F.col("strength") >= o.min_strength)
+
+
+def edge_stats(edges: DataFrame) -> DataFrame:
+    """What detection found: edges and mean strength by type."""
+    return edges.groupBy("relationship_type").agg(F.count("*").alias("edges"), F.avg("strength").alias("mean_strength"))
+
+
+def build(messages: DataFrame, min_strength: float = FLOOR, options: Options | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, edges) of all messages in one batch; with ``options.resolve``, people go by their resolved names."""
+    o = options or Options(min_strength=min_strength)
     found = mentions(messages)
+    if o.resolve:
+        kind = F.col("entity_type")
+        found = found.withColumn("canonical_name", F.when(kind == "person", person_key(F.col("canonical_name"))).otherwise(F.col("canonical_name")))
+        found = found.withColumn("entity_id", entity_id(kind, F.col("canonical_name")))
     per_message = settle(merged(found, ["message_id"]))
-    edges = mention_edges(per_message)
-    for more in (message_edges(messages), co_occurrence(per_message), typed_edges(per_message), overlap_edges(messages, per_message)):
-        edges = edges.unionByName(more)
-    return merged(found), edges.where(F.col("strength") >= min_strength)
+    return merged(found), detect(messages, per_message, o)
+
+
+def upsert_entities(known: DataFrame, new: DataFrame) -> DataFrame:
+    """known with new entities added, or merged into those of the same id: counts are summed, times widened, the first name kept."""
+    both = known.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)), allowMissingColumns=True)
+    return both.groupBy("entity_id", "entity_type", "canonical_name").agg(
+        F.min_by("name", "_age").alias("name"), F.sum("mention_count").alias("mention_count"), F.max("confidence").alias("confidence"), F.min("first_mentioned").alias("first_mentioned"), F.max("last_mentioned").alias("last_mentioned"),
+    )
+
+
+def previous_messages(messages: DataFrame, targets: DataFrame, n: int = LOOKBACK) -> DataFrame:
+    """(target_id, message_id, distance): the n messages before each target in its conversation."""
+    pairs = predecessors(messages, n).join(targets.select("message_id").distinct(), "message_id", "left_semi")
+    return pairs.select(F.col("message_id").alias("target_id"), F.col("prev_message_id").alias("message_id"), (F.col("_n") - F.col("prev_n")).cast("int").alias("distance"))
+
+
+def message_entities(per_message: DataFrame) -> DataFrame:
+    """(message_id, entities): the ids of each message's entities, in order."""
+    return per_message.groupBy("message_id").agg(F.array_sort(F.collect_set("entity_id")).alias("entities"))
+
+
+def entity_stats(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each entity with the number of edges at either of its ends; a loop counts once."""
+    ends = edges.select(F.explode(F.array_distinct(F.array(F.struct(F.col("source_type").alias("t"), F.col("source_id").alias("entity_id")), F.struct(F.col("target_type").alias("t"), F.col("target_id").alias("entity_id"))))).alias("e")).select("e.*")
+    counts = ends.where("t = 'entity'").groupBy("entity_id").agg(F.count("*").alias("connection_count"))
+    return entities.select("entity_id", "entity_type", "name", "mention_count").join(counts, "entity_id", "left").fillna({"connection_count": 0})
+
+
+def relationships(edges: DataFrame, entities: DataFrame, node: str | None = None, min_strength: float = 0.0) -> DataFrame:
+    """Edges between entities with the names of both, of one node (at either end) or of all, the strongest first."""
+    own = edges.where((F.col("source_type") == "entity") & (F.col("target_type") == "entity") & (F.col("strength") >= min_strength))
+    own = own if node is None else own.where((F.col("source_id") == node) | (F.col("target_id") == node))
+    for end in ("source", "target"):
+        own = own.join(entities.select(F.col("entity_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name")), f"{end}_id")
+    return own.select("source_id", "source_name", "relationship_type", "target_id", "target_name", "strength").orderBy(F.desc("strength"), "source_id", "target_id")
+
+
+def node_data(nodes: DataFrame, messages: DataFrame, entities: DataFrame) -> DataFrame:
+    """(node, kind, text) of nodes 'message:id' and 'entity:id'; unknown ones are left out."""
+    m = messages.select(F.concat(F.lit("message:"), "message_id").alias("node"), F.lit("message").alias("kind"), F.col("content").alias("text"))
+    e = entities.select(F.concat(F.lit("entity:"), "entity_id").alias("node"), F.col("entity_type").alias("kind"), F.col("name").alias("text"))
+    return nodes.select("node").distinct().join(m.unionByName(e), "node")
 
 
 def mean_confidence(entities: DataFrame) -> DataFrame:

@@ -109,3 +109,17 @@ def merge_with_existing(existing: DataFrame, mined: DataFrame) -> DataFrame:
         F.when(known, F.least((F.col("confidence") + F.col("e_confidence")) / 2 + 0.1, F.lit(1.0))).otherwise(F.coalesce("confidence", "e_confidence")).alias("confidence"),
         F.least("first_observed", "e_first_observed").alias("first_observed"), F.greatest("last_observed", "e_last_observed").alias("last_observed"),
     )
+
+
+def extract(messages: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., category, value, evidence_count, confidence) of all families: technologies, role, domain, working hours and style."""
+    by = by or []
+    columns = [*by, "category", "value", "evidence_count", "confidence"]
+    out = technologies(messages, by).select(*columns)
+    out = out.unionByName(domains(messages, by).select(*by, F.lit("domain").alias("category"), F.col("domain").alias("value"), "evidence_count", "confidence"))
+    role = roles(messages, by)
+    out = out.unionByName(role.select(*by, F.lit("role").alias("category"), F.col("role").alias("value"), F.floor("score").alias("evidence_count"), F.least(F.col("score") / 10, F.lit(1.0)).alias("confidence")))
+    style = communication_style(messages, by)
+    out = out.unionByName(style.select(*by, F.lit("communication_style").alias("category"), F.col("style").alias("value"), F.col("messages").alias("evidence_count"), F.least(F.col("messages") / 20, F.lit(1.0)).alias("confidence")))
+    days = work_patterns(messages, by)
+    return out.unionByName(days.select(*by, F.lit("work_pattern").alias("category"), F.when(F.col("prefers_weekdays"), "weekdays").otherwise("any day").alias("value"), F.col("messages").alias("evidence_count"), F.least(F.col("messages") / 50, F.lit(1.0)).alias("confidence")))

@@ -72,3 +72,10 @@ def diff(before: DataFrame, after: DataFrame, names: list[str]) -> DataFrame:
 
 def last_update(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conversation_id").agg(F.max("created_at").alias("last_update"))
+
+
+def change_counts(messages: DataFrame, entities: DataFrame, edges: DataFrame, since: int) -> DataFrame:
+    """New messages, entities and edges since a time, in one row."""
+    one = messages.agg(F.count_if(F.col("created_at") > since).alias("new_messages"))
+    two = entities.agg(F.count_if(F.col("first_mentioned") > since).alias("new_entities"))
+    return one.crossJoin(two).crossJoin(edges.agg(F.count_if(F.col("created_at") > since).alias("new_edges")))

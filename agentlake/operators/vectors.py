@@ -88,6 +88,56 @@ def missing(messages: DataFrame, vectors: DataFrame, rebuild: bool = False) -> D
     return rows.orderBy(F.desc("created_at"), "message_id")
 
 
+SCHEMA = "message_id string, embedding array<double>, provider string, version string, created_at long"
+
+
+def initialise(spark: object, path: str) -> DataFrame:
+    """The table of vectors at a path, made empty if it is not there."""
+    if not is_available(spark, path):
+        spark.createDataFrame([], SCHEMA).write.parquet(path)
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def is_available(spark: object, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
+def has_embedding(vectors: DataFrame, ids: DataFrame, key: str = "message_id") -> DataFrame:
+    """ids with whether each has a vector."""
+    known = vectors.select(key).distinct().withColumn("_known", F.lit(True))
+    return ids.join(known, key, "left").withColumn("has_embedding", F.coalesce("_known", F.lit(False))).drop("_known")
+
+
+def get_embedding(vectors: DataFrame, value: object, key: str = "message_id") -> list[float] | None:
+    row = vectors.where(F.col(key) == value).select("embedding").first()
+    return list(row["embedding"]) if row else None
+
+
+def delete_embeddings(vectors: DataFrame, ids: DataFrame, key: str = "message_id") -> DataFrame:
+    return vectors.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def find_similar(vectors: DataFrame, value: object, limit: int = 10, threshold: float = 0.0, key: str = "message_id") -> DataFrame:
+    """The nearest to a stored vector, which is left out; an unknown one is an error."""
+    own = get_embedding(vectors, value, key)
+    if own is None:
+        raise KeyError(f"no vector for {value}")
+    return search(vectors, own, limit, threshold, [value], key)
+
+
+def search_by_text(vectors: DataFrame, text: str, generator: EmbeddingGenerator, provider: str = "mock", limit: int = 10, threshold: float = 0.0, key: str = "message_id") -> DataFrame:
+    """Embed the text as the vectors were, then search."""
+    return search(vectors, generator.embed([text], provider)[0], limit, threshold, None, key)
+
+
+def rebuild(messages: DataFrame, vectors: DataFrame, generator: EmbeddingGenerator, provider: str = "mock", all_: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(vectors of messages that had none, or of all; counts: done and failed, a text that no vector comes of)."""
+    made = missing(messages, vectors, all_).select("message_id", generator.column(F.col("content"), provider).alias("embedding"))
+    counts = made.agg(F.count_if(F.size("embedding") > 0).alias("done"), F.count_if(F.coalesce(F.size("embedding") <= 0, F.lit(True))).alias("failed"))
+    return made.where(F.size("embedding") > 0), counts
+
+
 class HashProvider:
     """Deterministic vectors for tests: sines of a rolling 32-bit hash of the UTF-16 units."""
 
@@ -105,7 +155,7 @@ class HashProvider:
 
 
 class EmbeddingGenerator:
-    """Providers by name; texts beyond max_length are cut or refused, vectors normalised."""
+    """Providers by name; texts beyond a given max_length are cut or refused, vectors normalised."""
 
     def __init__(self) -> None:
         self.providers: dict[str, object] = {"mock": HashProvider()}
@@ -113,19 +163,24 @@ class EmbeddingGenerator:
     def register(self, provider: object) -> None:
         self.providers[provider.name] = provider
 
-    def column(self, text: Column, provider: str = "mock", max_length: int = 8000, truncate: bool = True, normalised: bool = True) -> Column:
+    def embed(self, texts: list[str | None], provider: str = "mock", max_length: int | None = None, truncate: bool = True, normalised: bool = True) -> list[list[float]]:
+        if provider not in self.providers:
+            raise ValueError(f"no such provider: {provider}")
+        if max_length is not None and not truncate and any(len(t or "") > max_length for t in texts):
+            raise ValueError("a text is too long")
+        rows = np.array(self.providers[provider].embed([(t or "")[:max_length] for t in texts]), dtype=np.float64).reshape(len(texts), -1)
+        if normalised:
+            norm = np.linalg.norm(rows, axis=1, keepdims=True)
+            rows = np.where(norm > 0, rows / np.where(norm > 0, norm, 1), rows)
+        return rows.tolist()
+
+    def column(self, text: Column, provider: str = "mock", max_length: int | None = None, truncate: bool = True, normalised: bool = True) -> Column:
+        """Vectors of whole texts, or of their first max_length characters."""
         if provider not in self.providers:
             raise ValueError(f"no such provider: {provider}")
-        chosen = self.providers[provider]
 
         @F.pandas_udf("array<double>")
         def embed(texts: pd.Series) -> pd.Series:
-            if not truncate and (texts.str.len() > max_length).any():
-                raise ValueError("a text is too long")
-            rows = np.array(chosen.embed([(t or "")[:max_length] for t in texts]), dtype=np.float64).reshape(len(texts), -1)
-            if normalised:
-                norm = np.linalg.norm(rows, axis=1, keepdims=True)
-                rows = np.where(norm > 0, rows / np.where(norm > 0, norm, 1), rows)
-            return pd.Series(rows.tolist())
+            return pd.Series(self.embed(texts.tolist(), provider, max_length, truncate, normalised))
 
         return embed(text)

@@ -75,7 +75,10 @@ mentions AS (SELECT *, entity_type || '_' || substr(sha256(entity_type || ':' ||
 
 
 MENTIONS = f"{I.POSTS}, {_mention_sql()}"
-PER_MESSAGE = MENTIONS + """, per AS (SELECT message_id, entity_id, entity_type, max(confidence) AS confidence, max(created_at) AS at FROM mentions GROUP BY 1, 2, 3)"""
+_PER = ", per AS (SELECT message_id, entity_id, entity_type, max(confidence) AS confidence, max(created_at) AS at, min(pattern_no * 100000 + match_no) AS position FROM mentions GROUP BY 1, 2, 3)"
+PER_MESSAGE = MENTIONS + _PER
+CHAT_MENTIONS = f"{I.chats_as('posts')}, {_mention_sql()}"
+PER_CHAT = CHAT_MENTIONS + _PER
 
 
 @query("entity_mentions", f"WITH {MENTIONS} SELECT message_id, pattern_no, match_no, entity_type, confidence, name, canonical_name, entity_id FROM mentions")
@@ -88,10 +91,13 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     return E.extract(I.posts(spark, d)).drop("aliases")
 
 
-@query("entity_people", f"""WITH {MENTIONS}, e AS (SELECT entity_id, arg_min(name, created_at * 100000 + pattern_no * 1000 + match_no) AS name, count(*) AS n, max(confidence) AS c, min(created_at) AS a, max(created_at) AS z FROM mentions WHERE entity_type = 'person' GROUP BY 1)
-SELECT lower(name) AS canonical_name, CAST(sum(n) AS BIGINT) AS mention_count, max(c) AS confidence, min(a) AS first_mentioned, max(z) AS last_mentioned, count(*) AS merged_entities FROM e GROUP BY 1""")
+_NICK = "CASE " + " ".join(f"WHEN split_part(low, ' ', 1) = '{k}' THEN '{v}'" for k, v in sorted(E.NICKNAMES.items())) + " ELSE split_part(low, ' ', 1) END || substr(low, length(split_part(low, ' ', 1)) + 1)"
+
+
+@query("entity_people", f"""WITH {CHAT_MENTIONS}, e AS (SELECT entity_id, lower(arg_min(name, created_at * 100000 + sequence_num)) AS low, count(*) AS n, max(confidence) AS c, min(created_at) AS a, max(created_at) AS z FROM mentions WHERE entity_type = 'person' GROUP BY 1)
+SELECT {_NICK} AS canonical_name, CAST(sum(n) AS BIGINT) AS mention_count, max(c) AS confidence, min(a) AS first_mentioned, max(z) AS last_mentioned, count(*) AS merged_entities FROM e GROUP BY 1""")
 def entity_people(spark: SparkSession, d: str) -> DataFrame:
-    return E.resolve_people(E.extract(I.posts(spark, d))).drop("entity_id", "name", "entity_type")
+    return E.resolve_people(E.extract(I.chats(spark, d))).drop("entity_id", "name", "entity_type")
 
 
 @query("entity_topics")
@@ -106,26 +112,26 @@ def edges_mentions(spark: SparkSession, d: str) -> DataFrame:
     return graph.mention_edges(per).select("source_id", "target_id", "relationship_type", "strength")
 
 
-@query("edges_messages", f"""WITH {I.MESSAGES}, n AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence_num) AS n FROM messages),
+@query("edges_messages", f"""WITH {I.chats_as('messages')}, n AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence_num) AS n FROM messages),
 p AS (SELECT a.message_id AS source_id, b.message_id AS target_id, a.created_at - b.created_at AS gap, a.role = b.role AS same, contains(b.content, '?') AS asked, a.content, a.created_at,
   regexp_matches(a.content, '(?i)(?:as (?:they|we|you|i) (?:noted|said|mentioned)|like \\w+ said|mentioned (?:previously|earlier|above)|(?:check|see) (?:earlier|previous|above)|following up on|regarding (?:the|your) (?:message|comment|question))') AS refers
   FROM n a JOIN n b ON a.conversation_id = b.conversation_id AND b.n BETWEEN a.n - 10 AND a.n - 1),
 k AS (SELECT *, CASE WHEN refers THEN 'references' WHEN same AND gap < 60000 THEN 'continues' WHEN asked AND NOT same AND gap < 300000 THEN 'answers' END AS relationship_type FROM p)
 SELECT source_id, target_id, relationship_type, CASE relationship_type WHEN 'references' THEN 0.9 WHEN 'continues' THEN CASE WHEN length(content) < 50 THEN 0.85 ELSE 0.75 END ELSE 0.8 END::DOUBLE AS strength, created_at FROM k WHERE relationship_type IS NOT NULL""")
 def edges_messages(spark: SparkSession, d: str) -> DataFrame:
-    return graph.message_edges(I.messages(spark, d)).select("source_id", "target_id", "relationship_type", "strength", "created_at")
+    return graph.message_edges(I.chats(spark, d)).select("source_id", "target_id", "relationship_type", "strength", "created_at")
 
 
-@query("edges_co_occurrence", f"""WITH {PER_MESSAGE} SELECT a.entity_id AS source_id, b.entity_id AS target_id, round(least(a.confidence, b.confidence) * 0.6, 6) AS strength, a.at AS created_at FROM per a JOIN per b ON a.message_id = b.message_id AND a.entity_id < b.entity_id""")
+@query("edges_co_occurrence", f"""WITH {PER_CHAT} SELECT a.entity_id AS source_id, b.entity_id AS target_id, round(least(a.confidence, b.confidence) * 0.6, 6) AS strength, a.at AS created_at FROM per a JOIN per b ON a.message_id = b.message_id AND a.position < b.position""")
 def edges_co_occurrence(spark: SparkSession, d: str) -> DataFrame:
-    per = E.merged(E.mentions(I.posts(spark, d)), ["message_id"])
+    per = E.merged(E.mentions(I.chats(spark, d)), ["message_id"])
     return _r(graph.co_occurrence(per).select("source_id", "target_id", "strength", "created_at"), "strength")
 
 
-@query("edges_typed", f"""WITH {PER_MESSAGE} SELECT a.entity_id AS source_id, b.entity_id AS target_id, CASE a.entity_type WHEN 'decision' THEN 'decision_about' ELSE 'action_item' END AS relationship_type, CASE a.entity_type WHEN 'decision' THEN 0.75 ELSE 0.8 END::DOUBLE AS strength
+@query("edges_typed", f"""WITH {PER_CHAT} SELECT a.entity_id AS source_id, b.entity_id AS target_id, CASE a.entity_type WHEN 'decision' THEN 'decision_about' ELSE 'action_item' END AS relationship_type, CASE a.entity_type WHEN 'decision' THEN 0.75 ELSE 0.8 END::DOUBLE AS strength
 FROM per a JOIN per b USING (message_id) WHERE (a.entity_type = 'decision' AND b.entity_type IN ('topic', 'project')) OR (a.entity_type = 'action' AND b.entity_type = 'project')""")
 def edges_typed(spark: SparkSession, d: str) -> DataFrame:
-    per = E.merged(E.mentions(I.posts(spark, d)), ["message_id"])
+    per = E.merged(E.mentions(I.chats(spark, d)), ["message_id"])
     return graph.typed_edges(per).select("source_id", "target_id", "relationship_type", "strength")
 
 
@@ -181,9 +187,93 @@ def graph_build(spark: SparkSession, d: str) -> DataFrame:
     return graph.build(I.posts(spark, d))[1]
 
 
-@query("graph_stats", f"""WITH {MENTIONS}, e AS (SELECT DISTINCT entity_id, entity_type FROM mentions) SELECT entity_type, count(*) AS entities FROM e GROUP BY 1""")
+_CHAT_EDGES = PER_CHAT + """, edges AS (
+  SELECT 'message' AS source_type, message_id AS source_id, 'entity' AS target_type, entity_id AS target_id, 'mentions' AS relationship_type, confidence AS strength, per.at AS created_at FROM per
+  UNION ALL SELECT 'entity', a.entity_id, 'entity', b.entity_id, 'relates_to', least(a.confidence, b.confidence) * 0.6, a.at FROM per a JOIN per b ON a.message_id = b.message_id AND a.position < b.position
+  UNION ALL SELECT 'entity', a.entity_id, 'entity', b.entity_id, CASE a.entity_type WHEN 'decision' THEN 'decision_about' ELSE 'action_item' END, CASE a.entity_type WHEN 'decision' THEN 0.75 ELSE 0.8 END, a.at FROM per a JOIN per b USING (message_id) WHERE (a.entity_type = 'decision' AND b.entity_type IN ('topic', 'project')) OR (a.entity_type = 'action' AND b.entity_type = 'project')),
+ents AS (SELECT entity_id, entity_type, count(*) AS mention_count FROM mentions GROUP BY 1, 2)"""
+
+
+def _chat_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entities of the chats, and their edges of mention, co-occurrence and type."""
+    found = E.mentions(I.chats(spark, d))
+    per = E.merged(found, ["message_id"])
+    edges = graph.mention_edges(per).unionByName(graph.co_occurrence(per)).unionByName(graph.typed_edges(per))
+    return E.merged(found), edges
+
+
+@query("graph_stats", f"""WITH {_CHAT_EDGES} SELECT count(*) AS entities, {', '.join(f"count(*) FILTER (entity_type = '{t}') AS {t}s" for t in E.TYPES)}, (SELECT count(*) FROM edges) AS edges, (SELECT round(avg(strength), 6) FROM edges) AS mean_strength FROM ents""")
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
-    return E.extract(I.posts(spark, d)).groupBy("entity_type").agg(F.count("*").alias("entities"))
+    return _r(graph.graph_stats(*_chat_graph(spark, d)), "mean_strength")
+
+
+@query("graph_edge_stats", f"WITH {_CHAT_EDGES} SELECT relationship_type, count(*) AS edges, round(avg(strength), 6) AS mean_strength FROM edges GROUP BY 1")
+def graph_edge_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _r(graph.edge_stats(_chat_graph(spark, d)[1]), "mean_strength")
+
+
+@query("graph_entity_stats", f"""WITH {_CHAT_EDGES}, ends AS (SELECT source_id AS entity_id FROM edges WHERE source_type = 'entity' UNION ALL SELECT target_id FROM edges WHERE target_type = 'entity' AND NOT (source_type = 'entity' AND source_id = target_id))
+SELECT entity_id, entity_type, mention_count, (SELECT count(*) FROM ends WHERE ends.entity_id = ents.entity_id) AS connection_count FROM ents""")
+def graph_entity_stats(spark: SparkSession, d: str) -> DataFrame:
+    return graph.entity_stats(*_chat_graph(spark, d)).drop("name")
+
+
+@query("graph_relationships", f"WITH {_CHAT_EDGES} SELECT source_id, relationship_type, target_id, round(strength, 6) AS strength FROM edges WHERE source_type = 'entity' AND target_type = 'entity' AND strength >= 0.5")
+def graph_relationships(spark: SparkSession, d: str) -> DataFrame:
+    found, edges = _chat_graph(spark, d)
+    return _r(graph.relationships(edges, found, None, 0.5).drop("source_name", "target_name"), "strength")
+
+
+@query("graph_node_data", f"""WITH {CHAT_MENTIONS} SELECT 'message:' || message_id AS node, 'message' AS kind, content AS text FROM posts WHERE conversation_id = 3
+UNION ALL SELECT DISTINCT 'entity:' || entity_id, entity_type, canonical_name FROM mentions WHERE entity_type = 'project' AND conversation_id = 3""")
+def graph_node_data(spark: SparkSession, d: str) -> DataFrame:
+    chats = I.chats(spark, d)
+    own = chats.where("conversation_id = 3")
+    found = E.merged(E.mentions(chats)).withColumn("name", F.col("canonical_name"))
+    nodes = own.select(F.concat(F.lit("message:"), "message_id").alias("node")).unionByName(E.mentions(own).where("entity_type = 'project'").select(F.concat(F.lit("entity:"), "entity_id").alias("node")))
+    return graph.node_data(nodes, chats, found)
+
+
+@query("graph_previous", f"""WITH {I.chats_as('posts')} SELECT a.message_id AS target_id, b.message_id, a.sequence_num - b.sequence_num AS distance FROM posts a JOIN posts b ON a.conversation_id = b.conversation_id AND b.sequence_num BETWEEN a.sequence_num - 10 AND a.sequence_num - 1 WHERE a.sequence_num = 12""")
+def graph_previous(spark: SparkSession, d: str) -> DataFrame:
+    chats = I.chats(spark, d)
+    return graph.previous_messages(chats, chats.where("sequence_num = 12"))
+
+
+@query("graph_message_entities", f"WITH {PER_CHAT} SELECT message_id, array_to_string(list_sort(list(entity_id)), ',') AS entities FROM per GROUP BY 1")
+def graph_message_entities(spark: SparkSession, d: str) -> DataFrame:
+    return graph.message_entities(E.merged(E.mentions(I.chats(spark, d)), ["message_id"])).withColumn("entities", F.array_join("entities", ","))
+
+
+@query("graph_upsert", f"""WITH {CHAT_MENTIONS} SELECT entity_id, entity_type, canonical_name, count(*) AS mention_count, max(confidence) AS confidence, min(created_at) AS first_mentioned, max(created_at) AS last_mentioned FROM mentions GROUP BY 1, 2, 3""")
+def graph_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of half of the conversations merged into those of the other half."""
+    found = E.mentions(I.chats(spark, d))
+    return graph.upsert_entities(E.merged(found.where("conversation_id % 2 = 0")), E.merged(found.where("conversation_id % 2 = 1"))).drop("name")
+
+
+@query("graph_detect", f"""WITH {_CHAT_EDGES} SELECT source_id, target_id, relationship_type, round(strength, 6) AS strength FROM edges WHERE strength >= 0.5""")
+def graph_detect(spark: SparkSession, d: str) -> DataFrame:
+    """Detection of everything but edges between messages, with the floor."""
+    chats = I.chats(spark, d)
+    per = E.merged(E.mentions(chats), ["message_id"])
+    edges = graph.detect(chats, per, graph.Options(overlap=False)).where("NOT (source_type = 'message' AND target_type = 'message')")
+    return _r(edges.select("source_id", "target_id", "relationship_type", "strength"), "strength")
+
+
+@query("edges_overlap", f"""WITH {PER_CHAT}, s AS (SELECT message_id, list(entity_id) AS own FROM per GROUP BY 1),
+p AS (SELECT a.message_id AS source_id, b.message_id AS target_id, sa.own AS x, sb.own AS y FROM posts a JOIN posts b ON a.conversation_id = b.conversation_id AND b.sequence_num BETWEEN a.sequence_num - 10 AND a.sequence_num - 1 JOIN s sa ON sa.message_id = a.message_id JOIN s sb ON sb.message_id = b.message_id),
+j AS (SELECT source_id, target_id, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS j FROM p) SELECT source_id, target_id, round(j * 0.7, 6) AS strength FROM j WHERE j > 0.3""")
+def edges_overlap(spark: SparkSession, d: str) -> DataFrame:
+    chats = I.chats(spark, d)
+    return _r(graph.overlap_edges(chats, E.merged(E.mentions(chats), ["message_id"])).select("source_id", "target_id", "strength"), "strength")
+
+
+@query("entities_resolved", f"WITH {CHAT_MENTIONS} SELECT entity_type, CAST(count(*) AS BIGINT) AS mention_count FROM mentions GROUP BY 1")
+def entities_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """All types resolved; no mention is lost."""
+    found = E.merged(E.mentions(I.chats(spark, d)), ["conversation_id"])
+    return E.resolve(found).groupBy("entity_type").agg(F.sum("mention_count").alias("mention_count"))
 
 
 @query("recent_activity", f"WITH {MENTIONS} SELECT entity_id, entity_type, count(DISTINCT message_id) AS recent_messages FROM mentions WHERE created_at > {I.START + 86_400_000 + 500_000} - 86400000 GROUP BY 1, 2")
@@ -234,7 +324,7 @@ def _count_sql(pattern: str) -> str:
     return f"len(regexp_extract_all(text, {_sql_text('(?i)' + pattern)}))"
 
 
-_TECH = " UNION ALL ".join(f"SELECT source, '{c}' AS category, '{n}' AS value, sum({_count_sql(p)}) AS n FROM documents GROUP BY 1" for c, n, p in preferences.TECHNOLOGIES)
+_TECH = " UNION ALL ".join(f"SELECT conversation_id, '{c}' AS category, '{n}' AS value, sum({_count_sql(p).replace('(text,', '(content,')}) AS n FROM posts GROUP BY 1" for c, n, p in preferences.TECHNOLOGIES)
 _DOMAIN = " UNION ALL ".join(f"SELECT source, '{n}' AS domain, sum({_count_sql(p)}) AS n FROM documents GROUP BY 1" for n, p in preferences.DOMAINS)
 _ROLE = " UNION ALL ".join(f"SELECT source, '{n}' AS role, count(*) FILTER (regexp_matches(text, {_sql_text('(?i)' + p)})) * {w}::DOUBLE AS n FROM documents GROUP BY 1" for n, p, w in preferences.ROLES)
 
@@ -243,9 +333,16 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return I.table(spark, d, "documents").select("source", F.col("text").alias("content"))
 
 
-@query("preference_technologies", f"SELECT source, category, value, CAST(n AS BIGINT) AS evidence_count, least(n / 10.0::DOUBLE, 1.0) AS confidence FROM ({_TECH}) WHERE n >= 3")
+@query("preference_technologies", f"WITH {I.chats_as('posts')} SELECT conversation_id, category, value, CAST(n AS BIGINT) AS evidence_count, round(least(n / 10.0::DOUBLE, 1.0), 6) AS confidence FROM ({_TECH}) WHERE n >= 3")
 def preference_technologies(spark: SparkSession, d: str) -> DataFrame:
-    return preferences.technologies(_texts(spark, d), ["source"])
+    return _r(preferences.technologies(I.chats(spark, d), ["conversation_id"]), "confidence")
+
+
+@query("preference_all", f"""WITH {I.chats_as('posts')} SELECT conversation_id, value, CAST(n AS BIGINT) AS evidence_count FROM ({_TECH}) WHERE n >= 3""")
+def preference_all(spark: SparkSession, d: str) -> DataFrame:
+    """What the extraction of all families holds of technologies."""
+    found = preferences.extract(I.chats(spark, d), ["conversation_id"])
+    return found.where(F.col("category").isin(sorted({c for c, *_ in preferences.TECHNOLOGIES}))).select("conversation_id", "value", "evidence_count")
 
 
 @query("preference_domains", f"SELECT source, domain, CAST(n AS BIGINT) AS evidence_count, round(least(n / 15.0::DOUBLE, 1.0), 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, domain) AS r FROM ({_DOMAIN})) WHERE r = 1 AND n >= 5")

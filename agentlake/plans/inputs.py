@@ -38,6 +38,33 @@ POSTS = f"""posts AS (
     CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, CAST(doc_id AS INTEGER) AS sequence_num, {START} + doc_id * 1000 AS created_at FROM documents)"""
 
 
+#: What the orders' chats say, by turns.
+LINES = [
+    "Let's use PostgreSQL for project Atlas and the database.", "Which database should we choose for testing?", "As I mentioned, @bob will fix the React deployment.",
+    "The meeting with Mike Jones was about authentication. TODO: write the tests", "My meeting with Michael Jones went well, React and TypeScript it is", "We must ship release Apollo with Docker and Docker Compose.",
+    "Can you explain the GraphQL API?", "Sure, React with TypeScript and React hooks.", "urgent: the deployment is broken, need help", "decision: keep Redis and Python for sprint Orion", "thanks",
+    "regarding the message above, we decided to drop the REST API of project Atlas",
+]
+
+
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as messages of 200 conversations, 25 seconds apart, that say LINES in turn; users and assistants alternate."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("conversation_id"), F.element_at(F.array(*(F.lit(x) for x in LINES)), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % len(LINES) + 1).cast("int")).alias("content"))
+    rows = rows.withColumn("sequence_num", (F.row_number().over(Window.partitionBy("conversation_id").orderBy("o_orderkey")) - 1).cast("int"))
+    return rows.select(F.format_string("c%d", "o_orderkey").alias("message_id"), "conversation_id", F.when(F.col("sequence_num") % 2 == 0, "user").otherwise("assistant").alias("role"), "content", token_count(F.col("content"), F.lit("gpt")).alias("tokens"), "sequence_num", (F.lit(START) + F.col("conversation_id") * 3_600_000 + F.col("sequence_num") * 25_000).alias("created_at"))
+
+
+_LINE_LIST = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in LINES) + "]"
+
+
+def chats_as(name: str) -> str:
+    """SQL of the chats under a name."""
+    return f"""{name}_lines AS (SELECT o_orderkey, o_custkey % 200 AS conversation_id, ({_LINE_LIST})[(o_orderkey * 7 + o_custkey) % {len(LINES)} + 1] AS content, CAST(row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey) - 1 AS INTEGER) AS sequence_num FROM orders),
+{name} AS (SELECT 'c' || o_orderkey AS message_id, conversation_id, CASE WHEN sequence_num % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, content, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens, sequence_num, {START} + conversation_id * 3600000 + sequence_num * 25000 AS created_at FROM {name}_lines)"""
+
+
 def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rankings of each source's documents: by length and by number, with weights."""
     from pyspark.sql import Window

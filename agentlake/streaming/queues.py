@@ -108,3 +108,57 @@ def event_windows(events: DataFrame, at: str = "ts", width: str = "1 hour", late
     """Counts by tumbling window, with a watermark (an extension)."""
     rows = events.withWatermark(at, late) if events.isStreaming else events
     return rows.groupBy(F.window(at, width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value")).select(F.col("w.start").alias("window_start"), "event_type", "events", "value")
+
+
+Processor = Callable[[DataFrame], DataFrame]
+
+
+class Processors:
+    """Work by kind of source: each takes tasks and returns (task_id, ok); one batch settles as a whole."""
+
+    def __init__(self, retries: int = RETRIES, whole: bool = False):
+        self.made: dict[str, Processor] = {}
+        self.retries, self.whole = retries, whole
+
+    def register(self, kind: str, work: Processor) -> None:
+        self.made[kind] = work
+
+    def outcome(self, batch: DataFrame, by: str = "source_type") -> DataFrame:
+        """(task_id, ok) of a batch: a kind without processor fails, and so does what its processor does not report; with ``whole``, one failure fails all."""
+        found = None
+        for kind, work in self.made.items():
+            done = work(batch.where(F.col(by) == kind)).select("task_id", "ok")
+            found = done if found is None else found.unionByName(done)
+        out = batch.select("task_id")
+        out = out.withColumn("ok", F.lit(False)) if found is None else out.join(found, "task_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+        return out.withColumn("ok", F.min("ok").over(Window.partitionBy(F.lit(1)))) if self.whole else out  # a batch is of bounded size
+
+    def process(self, tasks: DataFrame, at: int, size: int = BATCH, by: str = "source_type") -> DataFrame:
+        """tasks after the next batch."""
+        return settle_batch(tasks, self.outcome(next_batch(tasks, size, self.retries), by), at, self.retries)
+
+    def process_stream(self, stream: DataFrame, table: str, checkpoint: str, at: int, by: str = "source_type") -> object:
+        """Each micro-batch of tasks is tried until every task has succeeded or failed for good; its end state is appended."""
+
+        def each(batch: DataFrame, _: int) -> None:
+            state = batch
+            for _ in range(self.retries):
+                state = self.process(state, at, 1 << 30, by)
+            state.write.mode("append").parquet(table)
+
+        return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def status_of(tasks: DataFrame, task_id: str) -> DataFrame:
+    return tasks.where(F.col("task_id") == task_id).select("task_id", "status", "attempts", "updated_at")
+
+
+def recent(tasks: DataFrame, limit: int = 10, status: str | None = None) -> DataFrame:
+    """The tasks that changed last."""
+    rows = tasks if status is None else tasks.where(F.col("status") == status)
+    return rows.orderBy(F.desc("updated_at"), "task_id").limit(limit)
+
+
+def by_source(tasks: DataFrame, by: str = "source_type") -> DataFrame:
+    """Tasks of each kind of source by status."""
+    return tasks.groupBy(by).agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES), F.count("*").alias("tasks"))
