@@ -385,11 +385,6 @@ def update_categories(spark: SparkSession, d: str) -> DataFrame:
     return updates.updates_since(I.posts(spark, d), None, I.START, None).select(F.col("id").alias("message_id"), "category", "priority")
 
 
-@query("updates_since")
-def updates_since(spark: SparkSession, d: str) -> DataFrame:
-    return updates.updates_since(I.posts(spark, d), E.extract(I.posts(spark, d)), I.START)
-
-
 @query("last_update", f"WITH {I.MESSAGES} SELECT conversation_id, max(created_at) AS last_update FROM messages GROUP BY 1")
 def last_update(spark: SparkSession, d: str) -> DataFrame:
     return updates.last_update(I.messages(spark, d))

@@ -178,18 +178,6 @@ def search_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _r(found.select("message_id", "score"), "score")
 
 
-@query("search_porter")
-def search_porter(spark: SparkSession, d: str) -> DataFrame:
-    return search.sparse_search(I.messages(spark, d), "things that", I.AS_OF).select("message_id", "score", "pos")
-
-
-@query("search_hybrid")
-def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    m = I.messages(spark, d)
-    hits = m.orderBy(F.desc("tokens"), "message_id").limit(20).select("message_id", F.col("tokens").alias("score"))
-    return search.hybrid_search(m, "the that", I.AS_OF, hits, stemmed=False)
-
-
 @query("search_similar")
 def search_similar(spark: SparkSession, d: str) -> DataFrame:
     return search.find_similar(I.messages(spark, d), "m1-0", I.AS_OF, stemmed=False).select("message_id", "score")
@@ -240,11 +228,6 @@ def rank_diversity(spark: SparkSession, d: str) -> DataFrame:
     return _r(out.select("role", "item_id", F.col("conversation_group").cast("long").alias("conversation_group"), F.col("original_rank").cast("long").alias("original_rank"), "score"), "score")
 
 
-@query("rank_rerank")
-def rank_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.rerank(I.ranked(spark, d), I.AS_OF, by=["role"]).select("role", "item_id", "score", "rank")
-
-
 @query("rank_top_per_conversation", f"""WITH {I.RANKED}, t AS (SELECT *, row_number() OVER (PARTITION BY role, conversation_id ORDER BY pos) AS n FROM ranked)
 SELECT role, item_id, conversation_id, CAST(row_number() OVER (PARTITION BY role ORDER BY pos) AS INTEGER) AS rank FROM t WHERE n <= 3""")
 def rank_top_per_conversation(spark: SparkSession, d: str) -> DataFrame:

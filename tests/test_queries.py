@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from agentlake.plans import graph_queries, memory_queries, registry  # noqa: F401
+from agentlake.plans import graph_queries, memory_queries, more_queries, registry  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the test tables are not here")
