@@ -55,7 +55,7 @@ N, THRESHOLD = 3, 0.6
 HOT_ROWS, HOT_DF = 2_000_000, 16
 #: Cost of comparing two sets, in posting pairs; the prefix extensions tried.
 VERIFY_COST, EXTENSIONS = 200, (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
-_FLUSH = 1_000_000
+_FLUSH = 400_000
 #: Ranges of the hash space for each shuffle partition; a task has one range.
 RANGES = 2
 #: Min-hashes of a document; documents that make a bucket hot; buckets told apart; documents of a block.
@@ -465,7 +465,7 @@ def _candidates(threshold: float) -> Callable:
 
         begin = 0
         while begin < len(count):
-            stop = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + _FLUSH // 4, side="right")))
+            stop = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + _FLUSH, side="right")))
             left = np.repeat(index[begin:stop], count[begin:stop])
             right = tv.ranges(index[begin:stop] + 1, count[begin:stop])
             begin = stop

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Longest run of characters held as one array; documents beyond it form a batch of their own.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
