@@ -13,7 +13,8 @@ __all__ = ["BROADCAST_IDS", "identified", "in_small_batches", "named", "partitio
 
 #: Rows of ids that may be sent to every executor (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-BATCH_BYTES = 4 << 20
+#: Bytes of a batch of rows on its way to Python.
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -61,7 +61,9 @@ RANGES = 2
 #: Min-hashes of a document; documents that make a bucket hot; buckets told apart; documents of a block.
 SIGNS, HOT_GROUP, HOT_BUCKETS, BLOCK_DOCS = 4, 128, 200_000, 2048
 #: Rows of a posting list, pairs of a key, and counted pairs held, beyond which they are split or passed on.
-LIST_ROWS, CELL_PAIRS, HELD_PAIRS = 20_000, 200_000, 1_000_000
+LIST_ROWS, CELL_PAIRS, HELD_PAIRS = 20_000, 200_000, 400_000
+#: Entries of prefixes, or fingerprints, in a batch on its way back from Python.
+BATCH_ENTRIES = 50_000
 _TOP = np.uint64(16)  # a fingerprint is the upper 40 of an n-gram's 56 bits
 
 
@@ -92,15 +94,18 @@ def _fingerprints(n: int, ranges: int) -> Callable:
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, count = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
         cuts = _by_range(key, ranges)
-        part, first, steps, counts = [], [], [], []
+        part, first, steps, counts, last = [], [], [], [], 0
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if b > a:
                 part.append(i)
                 first.append(int(key[a]))
                 steps.append(_pack(np.diff(key[a:b], prepend=key[a : a + 1]).astype(np.uint64)))
                 counts.append(_pack(count[a:b].astype(np.uint32)))
-        yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "first": pa.array(first, pa.int64()), "steps": pa.array(steps, pa.binary()), "counts": pa.array(counts, pa.binary())})
+            if b - last > BATCH_ENTRIES or b == len(key) and b > last:
+                yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "first": pa.array(first, pa.int64()), "steps": pa.array(steps, pa.binary()), "counts": pa.array(counts, pa.binary())})
+                part, first, steps, counts, last = [], [], [], [], b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -356,22 +361,30 @@ def _prefixes(n: int, threshold: float, ranges: int, sent: object) -> Callable:
         level = np.minimum(np.log2(np.maximum(often_df, 1)) * 8, 254).astype(np.uint64) + np.uint64(1)
         df_of_level = np.concatenate([[1.0 + rare], 2 ** (np.arange(255) / 8)])
         held: list[tuple[np.ndarray, ...]] = []
+        of_docs: list[tuple[np.ndarray, ...]] = []  # what all entries of a document share
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, doc, size, need, hot = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, entry, need = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, size, hot = (np.concatenate(x) for x in zip(*of_docs, strict=True))
             held.clear()
+            of_docs.clear()
             order = np.argsort(key, kind="stable")
-            key, doc, size, need, hot = key[order], doc[order], size[order], need[order], hot[order]
+            key, entry, need = key[order], entry[order], need[order]
+            del order
             cuts = _by_range(key, ranges)
             out: list[list] = [[], [], [], [], [], []]
+            last = 0
             for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if b > a:
-                    signs = _pack(hot[a:b].ravel()) if hot[a:b].any() else b""
-                    for k, x in enumerate((i, _pack(np.diff(key[a:b], prepend=np.uint64(0))), _pack(doc[a:b]), _pack(size[a:b]), _pack(need[a:b]), signs)):
+                    mine = entry[a:b]
+                    signs = _pack(hot[mine].ravel()) if hot[mine].any() else b""
+                    for k, x in enumerate((i, _pack(np.diff(key[a:b], prepend=np.uint64(0))), _pack(doc[mine]), _pack(size[mine]), _pack(need[a:b]), signs)):
                         out[k].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["part", "key", "doc", "size", "need", "hot"])
+                if b - last > BATCH_ENTRIES or b == len(key) and b > last:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["part", "key", "doc", "size", "need", "hot"])
+                    out, last = [[], [], [], [], [], []], b
 
-        total = 0
+        total = docs = 0
         for ids, value, first in _sets(batches, n):
             hot = _look_up(_signs(value, first), buckets)
             at = np.searchsorted(often_key, value >> _TOP)
@@ -394,16 +407,18 @@ def _prefixes(n: int, threshold: float, ranges: int, sent: object) -> Callable:
             length = np.where(size > 0, np.minimum(size - must + need, size), 0)
             pick = tv.ranges(first[:-1], length)
             key = (order[pick] & np.uint64((1 << 56) - 1)) >> _TOP
-            row = np.repeat(np.arange(len(ids)), length)
+            row = np.repeat(np.arange(len(ids), dtype=np.int32), length)
             side = np.zeros(len(key), np.uint8)
             lists = -(-df_of_level[(order[pick] >> np.uint64(56)).astype(np.int64)] // LIST_ROWS).astype(np.int64)
             if (lists > 1).any():
                 entry, key, side = _split(key, ids[row], lists)
                 row = row[entry]
-            held.append((key, ids[row], size[row].astype(np.int32), need[row].astype(np.uint8) | side << np.uint8(6), hot[row]))
+            held.append((key, row + np.int32(docs), need[row].astype(np.uint8) | side << np.uint8(6)))
+            of_docs.append((ids, size.astype(np.int32), hot))
             total += len(key)
+            docs += len(ids)
             if total > _FLUSH:
-                total = 0
+                total = docs = 0
                 yield from flush()
         if total:
             yield from flush()
