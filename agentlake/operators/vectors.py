@@ -36,23 +36,67 @@ def search(vectors: DataFrame, query: list[float], limit: int = 10, threshold: f
     return best.select(key, "distance", F.exp(-F.col("distance")).alias("score")).where(F.col("score") >= threshold)
 
 
+#: Distances that a worker holds at once, and candidates whose distances are worked out exactly at once.
+CELLS, EXACT_ROWS = 2_000_000, 16_384
+
+
+def _distances(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of rows i of q and j of x from the differences themselves, so that equal vectors tie."""
+    out = np.empty(len(i))
+    for a in range(0, len(i), EXACT_ROWS):
+        own = slice(a, a + EXACT_ROWS)
+        out[own] = np.sqrt(((q[i[own]].astype(np.float64) - x[j[own]]) ** 2).sum(1))
+    return out
+
+
+def _merge(best: list[np.ndarray], rows: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> None:
+    """Candidates of queries (rows of best) put into best, which has the k nearest found so far by distance and id; unused places are infinite."""
+    near, found = best
+    touched, at = np.unique(rows, return_inverse=True)
+    at = np.concatenate([np.repeat(np.arange(len(touched)), k), at])
+    d, f = np.concatenate([near[touched].ravel(), distance]), np.concatenate([found[touched].ravel(), ids])
+    order = np.lexsort((f, d, at))
+    at, d, f = at[order], d[order], f[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    kept = place < k
+    near[touched[at[kept]], place[kept]], found[touched[at[kept]], place[kept]] = d[kept], f[kept]
+
+
 def _nearest(sent: object, k: int, key: str) -> Callable:
     def run(batches: object) -> object:
         import pyarrow as pa
 
         ids, q = sent.value
+        best = [np.full((len(ids), k), np.inf), np.zeros((len(ids), k), dtype=np.int64)]
+        q2 = np.concatenate([(q[a : a + 8_192].astype(np.float64) ** 2).sum(1) for a in range(0, len(q), 8_192)])
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(key).to_numpy()
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-            d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T, 0))
-            d[ids[:, None] == own[None]] = np.inf
-            few = min(k, len(own))
-            near = np.argpartition(d, few - 1, axis=1)[:, :few]
-            dist = np.take_along_axis(d, near, axis=1)
-            fine = np.isfinite(dist).ravel()
-            yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, few)[fine], "found_id": own[near.ravel()][fine], "distance": dist.ravel()[fine]})
+            for start in range(0, batch.num_rows, 8_192):
+                part = batch.slice(start, 8_192)
+                own = part.column(key).to_numpy(zero_copy_only=False)
+                x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+                x2 = (x**2).sum(1)
+                longest = x2[np.isfinite(x2)].max(initial=0)
+                step = max(1, CELLS // len(own))
+                for a in range(0, len(ids), step):
+                    some = slice(a, a + step)
+                    d = q[some].astype(np.float64) @ x.T
+                    d *= -2
+                    d += q2[some, None]
+                    d += x2
+                    d[ids[some, None] == own] = np.inf
+                    # squares from products are off by a rounding: what is within it of the k-th is worked out exactly
+                    slack = 1e-11 * (q2[some] + longest)
+                    most = best[0][some, k - 1] ** 2
+                    if len(own) > k and np.isinf(most).any():
+                        most = np.minimum(most, np.partition(d, k - 1, axis=1)[:, k - 1])
+                    i, j = np.nonzero((d <= (most + slack)[:, None]) & (d < np.inf))
+                    for c in range(0, len(i), 20 * EXACT_ROWS):
+                        ii, jj = i[c : c + 20 * EXACT_ROWS], j[c : c + 20 * EXACT_ROWS]
+                        _merge(best, ii + a, own[jj], _distances(q[some], x, ii, jj), k)
+        for a in range(0, len(ids), 8_192):
+            near, found = (x[a : a + 8_192] for x in best)
+            fine = np.isfinite(near).ravel()
+            yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids[a : a + 8_192], k)[fine], "found_id": found.ravel()[fine], "distance": near.ravel()[fine]})
 
     return run
 
@@ -62,16 +106,17 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str =
 
     About ``at_once`` queries go to every partition, which returns its k best for each;
     so k rows a query and partition are shuffled, not vectors.  More queries are searched
-    in slices, a scan each.
+    in slices, a scan each.  A worker holds its queries, a batch of vectors and CELLS
+    distances between them, whatever the number of vectors.
     """
     slices = max(1, -(-queries.count() // at_once))
     own = vectors.select(F.col(key).cast("long").alias(key), "embedding")
     best = vectors.sparkSession.createDataFrame([], "query_id long, found_id long, distance double")
     for i in range(slices):
         part = queries.where(F.pmod(F.xxhash64(key), F.lit(slices)) == i) if slices > 1 else queries
-        rows = part.select(key, "embedding").toArrow().combine_chunks()
+        rows = part.select(F.col(key).cast("long").alias(key), "embedding").toArrow().combine_chunks()
         if rows.num_rows:
-            q = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
+            q = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
             sent = vectors.sparkSession.sparkContext.broadcast((rows.column(key).to_numpy(), q))
             best = best.unionByName(own.mapInArrow(_nearest(sent, k, key), "query_id long, found_id long, distance double"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "found_id"))

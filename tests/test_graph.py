@@ -184,3 +184,33 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
         query.awaitTermination(60)
         (source / "b.txt").write_text("two")
     assert sorted(r[0] for r in spark.read.parquet(out).collect()) == ["one", "two"]
+
+
+def test_many_searches_hold_few_distances_and_settle_ties(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 8))
+    x[100:140] = x[5]  # ties, which go by id
+    want = {}
+    for i in range(300):
+        d = np.sqrt(((x[i] - x) ** 2).sum(1))
+        want[i] = sorted((round(v, 9), j) for j, v in enumerate(d) if j != i)[:5]
+    sizes = []
+    monkeypatch.setattr(vectors, "CELLS", 1_000)
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda d, *a, **k: sizes.append(d.size) or partition(d, *a, **k))
+
+    import pyarrow as pa
+
+    class Sent:
+        value = (np.arange(300), x)
+
+    batch = pa.RecordBatch.from_pydict({"vec_id": np.arange(300), "embedding": pa.array(x.tolist())})
+    got = {}
+    for out in vectors._nearest(Sent, 5, "vec_id")([batch]):
+        for r in out.to_pylist():
+            got.setdefault(r["query_id"], []).append((round(r["distance"], 9), r["found_id"]))
+    assert {i: sorted(v) for i, v in got.items()} == want
+    assert max(sizes) <= 1_000
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = vectors.search_many(v.repartition(3), v, 5, at_once=100).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["found_id"]) for r in rows] == [(i, j) for i in range(300) for _, j in want[i]]
