@@ -7,6 +7,7 @@ aggregations, so that many queries are ranked at once by ``by``.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,8 +111,13 @@ def ndcg(results: DataFrame, relevance: DataFrame, by: list[str], k: int | None
 
 
 def explain(score: Column, sparse: Column, dense: Column, recency: Column) -> Column:
-    """'Score: … | Sparse: …' with four decimals; absent parts are left out."""
-    part = lambda name, c: F.when(c.isNotNull(), F.format_string(f"{name}: %.4f", c))
+    """'Score: … | Sparse: …' with four decimals, rounded as C's printf does by the exact value (the JVM goes by the shortest decimal form); absent parts are left out."""
+
+    @F.pandas_udf("string")
+    def four_decimals(values: pd.Series) -> pd.Series:
+        return pd.Series([f"{x:.4f}" for x in values], dtype=object)
+
+    part = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), four_decimals(c.cast("double"))))
     return F.concat_ws(" | ", part("Score", score), part("Sparse", sparse), part("Dense", dense), part("Recency", recency))
 
 

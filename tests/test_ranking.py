@@ -79,3 +79,10 @@ def test_mrr_and_ndcg(spark):
     worst = spark.createDataFrame([("q", p, i) for p, i in enumerate("cba")], "query_id string, pos int, item_id string")
     got = ranking.ndcg(worst, graded, ["query_id"]).first()["ndcg"]
     assert got == pytest.approx((1 + 2 / math.log2(3) + 3 / 2) / (3 + 2 / math.log2(3) + 1 / 2))
+
+
+def test_explained_scores_are_rounded_by_their_exact_values(spark):
+    rows = spark.createDataFrame([(1, 0.00035, None), (2, 0.03125, 2.5), (3, 0.28125, -0.00005)], "n int, a double, b double")
+    none = F.lit(None).cast("double")
+    out = [r["t"] for r in rows.orderBy("n").select(ranking.explain(F.col("a"), none, none, F.col("b")).alias("t")).collect()]
+    assert out == ["Score: %.4f" % 0.00035, "Score: %.4f | Recency: 2.5000" % 0.03125, "Score: 0.2812 | Recency: %.4f" % -0.00005]
