@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import settle
+from ..functions.text import once
 from .entities import entity_id, mentions, merged, person_key
+from .updates import holds_any
 
 LOOKBACK, FLOOR, WINDOW = 10, 0.5, 3_600_000
 REFERENCES = r"(?i)(?:as (?:they|we|you|i) (?:noted|said|mentioned)|like \w+ said|mentioned (?:previously|earlier|above)|(?:check|see) (?:earlier|previous|above)|following up on|regarding (?:the|your) (?:message|comment|question))"
+#: What a text must hold (in lower case) for REFERENCES to match; the regular expression runs over such texts alone.
+REFERENCE_HINTS = "noted|said|mentioned|earlier|previous|above|following up on|regarding the|regarding your"
 EDGE = ["source_type", "source_id", "target_type", "target_id", "relationship_type", "strength", "created_at"]
 
 
@@ -29,23 +33,36 @@ def mention_edges(per_message: DataFrame) -> DataFrame:
     return per_message.select(*_edge(F.col("message_id"), F.col("entity_id"), "mentions", F.col("confidence"), F.col("last_mentioned"), "message", "entity"))
 
 
-def predecessors(messages: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
-    """Pairs (message, one of the lookback messages before it in the conversation), gaps in numbering aside."""
-    place = F.row_number().over(Window.partitionBy("conversation_id").orderBy("sequence_num"))
-    now = messages.select("conversation_id", "message_id", "role", "content", "created_at", place.alias("_n"))
-    then = now.select("conversation_id", F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + lookback)).alias("_n"), *(F.col(c).alias(f"prev_{c}") for c in ("message_id", "role", "content", "created_at")), F.col("_n").alias("prev_n"))
-    return now.join(then, ["conversation_id", "_n"])
+def _before(rows: DataFrame, carried: list[str], lookback: int, where: str = "true") -> DataFrame:
+    """rows with ``_then`` (the carried columns of a message before it) and ``_back``, for each of the lookback ones before it.
+
+    One window, so that every message is moved once and not once for each of its successors.
+    """
+    own = Window.partitionBy("conversation_id").orderBy("sequence_num")
+    then = F.array(*(F.lag(F.struct(*carried), k).over(own) for k in range(1, lookback + 1)))
+    found = rows.where("conversation_id IS NOT NULL").withColumn("_n", F.row_number().over(own)).withColumn("_before", then).where(where)
+    return found.select(*rows.columns, "_n", F.posexplode("_before").alias("_back", "_then")).where("_then IS NOT NULL")
+
+
+def predecessors(messages: DataFrame, lookback: int = LOOKBACK, carried: list[str] | None = None) -> DataFrame:
+    """Pairs (message, one of the lookback messages before it in the conversation), gaps in numbering aside, each with the carried columns."""
+    names = ["message_id", *(carried if carried is not None else ["role", "content", "created_at"])]
+    pairs = _before(messages.select("conversation_id", "sequence_num", *names), names, lookback)
+    return pairs.select("conversation_id", "_n", *names, *(F.col(f"_then.{c}").alias(f"prev_{c}") for c in names), (F.col("_n") - F.col("_back") - 1).alias("prev_n"))
 
 
 def message_edges(messages: DataFrame, lookback: int = LOOKBACK, window: int = WINDOW, explicit: bool = True) -> DataFrame:
-    """Explicit references, else continuations, else answers."""
-    pairs = predecessors(messages, lookback)
+    """Explicit references, else continuations, else answers; what counts of a text is read once, and texts stay where they are."""
+    refers = F.when(holds_any(F.col("_low"), REFERENCE_HINTS), F.col("content").rlike(REFERENCES)).otherwise(F.lit(False)) & F.lit(explicit)
+    marks = {"_refers": refers, "_short": F.length("content") < 50, "_asks": F.col("content").contains("?")}
+    marked = once(messages, "_low", F.lower("content")).select("conversation_id", "sequence_num", "message_id", "role", "created_at", *(c.alias(n) for n, c in marks.items()))
+    pairs = predecessors(marked, lookback, ["role", "created_at", *marks])
     gap = F.col("created_at") - F.col("prev_created_at")
-    refers = F.col("content").rlike(REFERENCES) & F.lit(explicit)
+    refers = F.col("_refers")
     goes_on = (gap <= window) & (F.col("role") == F.col("prev_role")) & (gap < 60_000)
-    answers = F.col("prev_content").contains("?") & (F.col("role") != F.col("prev_role")) & (gap < 300_000)
+    answers = F.col("prev__asks") & (F.col("role") != F.col("prev_role")) & (gap < 300_000)
     kind = F.when(refers, "references").when(goes_on, "continues").when(answers, "answers")
-    strength = F.when(refers, 0.9).when(goes_on, F.when(F.length("content") < 50, 0.85).otherwise(0.75)).when(answers, 0.8)
+    strength = F.when(refers, 0.9).when(goes_on, F.when(F.col("_short"), 0.85).otherwise(0.75)).when(answers, 0.8)
     return pairs.withColumn("_kind", kind).where("_kind IS NOT NULL").select(*_edge(F.col("message_id"), F.col("prev_message_id"), F.col("_kind"), strength, F.col("created_at")))
 
 
@@ -69,10 +86,12 @@ def typed_edges(per_message: DataFrame) -> DataFrame:
 def overlap_edges(messages: DataFrame, per_message: DataFrame, lookback: int = LOOKBACK, window: int = WINDOW) -> DataFrame:
     """Messages near in time that share entities: 0.7 of the Jaccard index, if that is over 0.3."""
     sets = per_message.groupBy("message_id").agg(F.collect_set("entity_id").alias("set"))
-    pairs = predecessors(messages, lookback).where(F.col("created_at") - F.col("prev_created_at") <= window).select("message_id", "prev_message_id", "created_at")
-    both = pairs.join(sets, "message_id").join(sets.select(F.col("message_id").alias("prev_message_id"), F.col("set").alias("prev_set")), "prev_message_id")
-    j = F.size(F.array_intersect("set", "prev_set")) / F.size(F.array_union("set", "prev_set"))
-    return both.withColumn("_j", j).where("_j > 0.3").select(*_edge(F.col("message_id"), F.col("prev_message_id"), "relates_to", F.col("_j") * 0.7, F.col("created_at")))
+    rows = messages.select("conversation_id", "sequence_num", "message_id", "created_at").join(sets, "message_id", "left")
+    pairs = _before(rows, ["message_id", "created_at", "set"], lookback, "set IS NOT NULL")
+    near = pairs.where((F.col("_then.set").isNotNull()) & (F.col("created_at") - F.col("_then.created_at") <= window))
+    shared = F.size(F.array_intersect("set", F.col("_then.set")))
+    j = near.withColumn("_j", shared / (F.size("set") + F.size("_then.set") - shared))
+    return j.where("_j > 0.3").select(*_edge(F.col("message_id"), F.col("_then.message_id"), "relates_to", F.col("_j") * 0.7, F.col("created_at")))
 
 
 @dataclass(frozen=True)

@@ -214,3 +214,21 @@ def test_many_searches_hold_few_distances_and_settle_ties(spark, monkeypatch):
     v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
     rows = vectors.search_many(v.repartition(3), v, 5, at_once=100).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["found_id"]) for r in rows] == [(i, j) for i in range(300) for _, j in want[i]]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_predecessors_move_each_message_once(spark):
+    m = _messages(spark, [("user", f"@ann{i % 3} and @bob") for i in range(15)])
+    plan = _plan(graph.message_edges(m))
+    assert "Join" not in plan
+    assert "content" not in plan[: plan.index("Window")]
+    per = E.merged(E.mentions(m), ["message_id"])
+    assert _plan(graph.overlap_edges(m, per)).count("Join") == 1
+    sets = [{f"ann{i % 3}", "bob"} for i in range(15)]
+    want = {(f"m{i}", f"m{j}", round(0.7 * len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 6)) for i in range(15) for j in range(max(0, i - 10), i)}
+    assert {(r["source_id"], r["target_id"], round(r["strength"], 6)) for r in graph.overlap_edges(m, per).collect()} == want
+    pairs = {(r["message_id"], r["prev_message_id"], r["prev_n"]) for r in graph.predecessors(m, 10).collect()}
+    assert pairs == {(f"m{i}", f"m{j}", j + 1) for i in range(15) for j in range(max(0, i - 10), i)}
