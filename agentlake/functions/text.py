@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,18 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(trim_all(text), r"\s+", " ")
 
 
+def trim_name(name: Column) -> Column:
+    """trim_all of a column; the regular expression runs only where an end is not visible ASCII."""
+    visible = F.ascii(name).between(33, 126) & F.ascii(F.substring(name, -1, 1)).between(33, 126)
+    return F.when(visible, name).otherwise(trim_all(name))
+
+
+def squeeze_name(name: Column) -> Column:
+    """squeeze of a column; the regular expression runs only where there is more than single spaces."""
+    wide = reduce(lambda a, b: a | b, (name.contains(x) for x in ("  ", "\t", "\n", "\x0b", "\f", "\r")))
+    return F.when(wide, squeeze(name)).otherwise(trim_name(name))
+
+
 def words(text: Column) -> Column:
     """Lower-case words without accents, in order: letters and digits of any script."""
     plain = F.translate(F.lower(text), _ACCENTED, _PLAIN)

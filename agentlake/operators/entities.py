@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import once, squeeze, trim_all
+from ..functions.text import once, squeeze_name, trim_all, trim_name
 from .updates import holds_any
 
 NAME = r"((?:[A-Z][a-z]+\s)?[A-Z][a-z]+)"
@@ -55,9 +55,9 @@ NICKNAMES = {
 
 def canonical_name(name: Column, kind: Column) -> Column:
     return (
-        F.when(kind == "person", F.lower(trim_all(name)))
-        .when(kind.isin("topic", "project"), F.lower(squeeze(name)))
-        .otherwise(F.substring(squeeze(name), 1, 100))
+        F.when(kind == "person", F.lower(trim_name(name)))
+        .when(kind.isin("topic", "project"), F.lower(squeeze_name(name)))
+        .otherwise(F.substring(squeeze_name(name), 1, 100))
     )
 
 
@@ -77,39 +77,43 @@ def pattern_table(patterns: list[tuple] | None = None) -> list[dict[str, object]
     return [{"type": t, "confidence": c, "pattern": p} for t, c, p, *_ in patterns or PATTERNS]
 
 
-def _labelled(hits: Column, number: int, kind: str, confidence: float) -> Column:
-    return F.transform(hits, lambda x, i: F.struct(F.lit(number).alias("pattern_no"), i.alias("match_no"), F.lit(kind).alias("entity_type"), F.lit(confidence).alias("confidence"), x.alias("name")))
-
-
 def mentions(messages: DataFrame, patterns: list[tuple] | None = None) -> DataFrame:
     """Every match: message columns, entity_type, name, canonical_name, entity_id, confidence, pattern_no, match_no."""
-    found = []
-    for number, (kind, confidence, regex, group, shape) in enumerate(patterns or PATTERNS):
-        hits = F.regexp_extract_all(F.col("content"), F.lit(regex), F.lit(group))
-        if patterns is None:
-            hits = F.when(holds_any(F.col("_low"), HINTS[number]), hits).otherwise(F.expr("cast(array() as array<string>)"))
-        if shape:
-            hits = F.transform(hits, trim_all)
-        if shape == "clip":
-            hits = F.transform(hits, lambda x: F.substring(x, 1, 100))
-        if shape == "lower":
-            hits = F.transform(hits, F.lower)
-        found.append(_labelled(hits, number, kind, confidence))
-    rows = once(messages, "_low", F.lower("content")).select("message_id", "conversation_id", "sequence_num", "created_at", F.explode(F.flatten(F.array(*found))).alias("e")).select("message_id", "conversation_id", "sequence_num", "created_at", "e.*")
+    listed = patterns or PATTERNS
+    hits = [F.regexp_extract_all(F.col("content"), F.lit(regex), F.lit(group)) for _, _, regex, group, _ in listed]
+    if patterns is None:
+        hits = [F.when(holds_any(F.col("_low"), hint), own) for hint, own in zip(HINTS, hits, strict=True)]
+    of = ["message_id", "conversation_id", "sequence_num", "created_at"]
+    rows = once(messages, "_low", F.lower("content")).select(*of, F.posexplode(F.array(*hits)).alias("pattern_no", "_hits"))
+    rows = rows.select(*of, "pattern_no", F.posexplode("_hits").alias("match_no", "_raw"))
+    # shapes are columns over rows and not lambdas over arrays, which Spark interprets
+    by_number = lambda values: F.array(*(F.lit(x) for x in values))[F.col("pattern_no")]
+    rows = rows.select(*of, "pattern_no", "match_no", by_number([p[0] for p in listed]).alias("entity_type"), by_number([p[1] for p in listed]).alias("confidence"), by_number([p[4] for p in listed]).alias("_shape"), "_raw")
+    trimmed, shape = trim_name(F.col("_raw")), F.col("_shape")
+    name = F.when(shape == "", F.col("_raw")).when(shape == "clip", F.substring(trimmed, 1, 100)).when(shape == "lower", F.lower(trimmed)).otherwise(trimmed)
+    rows = once(rows, "name", name).drop("_shape", "_raw")
     kind, name = F.col("entity_type"), F.col("name")
     rows = rows.where(F.length(name).between(2, 150) & ~is_noise(name, kind)).withColumn("canonical_name", canonical_name(name, kind))
     return rows.withColumn("entity_id", entity_id(kind, F.col("canonical_name")))
 
 
 def merged(found: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One row for each entity (of each message, with by=['message_id']): first name kept, others are aliases."""
+    """One row for each entity (of each message, with by=['message_id']): first name kept, others are aliases.
+
+    By message, rows are shuffled once and by message alone, so that what is done with a
+    message's entities later needs no other shuffle; positions are packed into a number,
+    as numbers are aggregated by hash and structs by sorting.
+    """
     order = F.struct("created_at", "sequence_num", "message_id", "pattern_no", "match_no")
     keys = [*(by or []), "entity_id", "entity_type", "canonical_name"]
-    place = [F.min(F.struct("pattern_no", "match_no")).alias("position")] if by and "message_id" in by else []
-    return found.groupBy(*keys).agg(
+    place = [F.min(F.shiftleft(F.col("pattern_no").cast("long"), 32) + F.col("match_no")).alias("position")] if by and "message_id" in by else []
+    found = found.repartition("message_id") if place else found
+    out = found.groupBy(*keys).agg(
         F.min_by("name", order).alias("name"), F.count("*").alias("mention_count"), F.max("confidence").alias("confidence"),
         F.min("created_at").alias("first_mentioned"), F.max("created_at").alias("last_mentioned"), F.array_sort(F.collect_set("name")).alias("names"), *place,
     ).withColumn("aliases", F.array_except("names", F.array("name"))).drop("names")
+    packed = F.col("position")
+    return out.withColumn("position", F.struct(F.shiftright(packed, 32).cast("int").alias("pattern_no"), packed.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("match_no"))) if place else out
 
 
 def extract(messages: DataFrame) -> DataFrame:

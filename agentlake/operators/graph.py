@@ -66,21 +66,36 @@ def message_edges(messages: DataFrame, lookback: int = LOOKBACK, window: int = W
     return pairs.withColumn("_kind", kind).where("_kind IS NOT NULL").select(*_edge(F.col("message_id"), F.col("prev_message_id"), F.col("_kind"), strength, F.col("created_at")))
 
 
+def within_message(per_message: DataFrame, mention: bool = True, co_occurrence: bool = True, typed: bool = True) -> DataFrame:
+    """Edges of the entities of each message: mentions, co-occurrences and edges by type, from one grouping by message and no join."""
+    if not (co_occurrence or typed):
+        return mention_edges(per_message).where(F.lit(mention))
+    one = F.struct("position", "entity_id", "entity_type", "confidence", "last_mentioned")
+    own = per_message.where("message_id IS NOT NULL" if not mention else "true").groupBy("message_id").agg(F.collect_list(one).alias("_own"))
+    pairs = own.select("message_id", "_own", F.posexplode("_own").alias("_i", "a")).select("message_id", "_i", "a", F.posexplode("_own").alias("_j", "b"))
+    a, b = F.col("a"), F.col("b")
+    known = F.col("message_id").isNotNull()
+    decision = (a["entity_type"] == "decision") & b["entity_type"].isin("topic", "project")
+    action = (a["entity_type"] == "action") & (b["entity_type"] == "project")
+    between = lambda kind, strength: F.struct(*_edge(a["entity_id"], b["entity_id"], kind, strength, a["last_mentioned"], "entity", "entity"))
+    found = []
+    if mention:
+        found.append(F.when(F.col("_i") == F.col("_j"), F.struct(*_edge(F.col("message_id"), a["entity_id"], "mentions", a["confidence"], a["last_mentioned"], "message", "entity"))))
+    if co_occurrence:
+        found.append(F.when(known & (a["position"] < b["position"]), between("relates_to", F.least(a["confidence"], b["confidence"]) * 0.6)))
+    if typed:
+        found.append(F.when(known & (decision | action), between(F.when(decision, "decision_about").otherwise("action_item"), F.when(decision, 0.75).otherwise(0.8))))
+    return pairs.select(F.explode(F.array(*found)).alias("e")).where("e IS NOT NULL").select("e.*")
+
+
 def co_occurrence(per_message: DataFrame) -> DataFrame:
     """Pairs of entities within a message, from the one that was found first, 0.6 of the lesser confidence."""
-    one = per_message.select("message_id", F.col("position").alias("pa"), F.col("entity_id").alias("a"), F.col("confidence").alias("ca"), F.col("last_mentioned").alias("at"))
-    two = per_message.select("message_id", F.col("position").alias("pb"), F.col("entity_id").alias("b"), F.col("confidence").alias("cb"))
-    return one.join(two, "message_id").where("pa < pb").select(*_edge(F.col("a"), F.col("b"), "relates_to", F.least("ca", "cb") * 0.6, F.col("at"), "entity", "entity"))
+    return within_message(per_message, mention=False, typed=False)
 
 
 def typed_edges(per_message: DataFrame) -> DataFrame:
     """Decisions about topics and projects, and actions for projects."""
-    one = per_message.select("message_id", F.col("entity_id").alias("a"), F.col("entity_type").alias("ta"), F.col("last_mentioned").alias("at"))
-    two = per_message.select("message_id", F.col("entity_id").alias("b"), F.col("entity_type").alias("tb"))
-    decision = (F.col("ta") == "decision") & F.col("tb").isin("topic", "project")
-    action = (F.col("ta") == "action") & (F.col("tb") == "project")
-    pairs = one.where(F.col("ta").isin("decision", "action")).join(two.where(F.col("tb").isin("topic", "project")), "message_id").where(decision | action)
-    return pairs.select(*_edge(F.col("a"), F.col("b"), F.when(decision, "decision_about").otherwise("action_item"), F.when(decision, 0.75).otherwise(0.8), F.col("at"), "entity", "entity"))
+    return within_message(per_message, mention=False, co_occurrence=False)
 
 
 def overlap_edges(messages: DataFrame, per_message: DataFrame, lookback: int = LOOKBACK, window: int = WINDOW) -> DataFrame:
@@ -111,9 +126,7 @@ class Options:
 def detect(messages: DataFrame, per_message: DataFrame, options: Options | None = None) -> DataFrame:
     """All edges of messages and of the entities in each; edges below the floor are dropped."""
     o = options or Options()
-    edges = mention_edges(per_message).unionByName(message_edges(messages, o.lookback, o.window, o.explicit))
-    for wanted, more in ((o.co_occurrence, co_occurrence), (o.typed, typed_edges)):
-        edges = edges.unionByName(more(per_message)) if wanted else edges
+    edges = within_message(per_message, True, o.co_occurrence, o.typed).unionByName(message_edges(messages, o.lookback, o.window, o.explicit))
     if o.overlap:
         edges = edges.unionByName(overlap_edges(messages, per_message, o.lookback, o.window))
     return edges.where(F.col("strength") >= o.min_strength)
@@ -157,8 +170,9 @@ def message_entities(per_message: DataFrame) -> DataFrame:
 
 def entity_stats(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """Each entity with the number of edges at either of its ends; a loop counts once."""
-    ends = edges.select(F.explode(F.array_distinct(F.array(F.struct(F.col("source_type").alias("t"), F.col("source_id").alias("entity_id")), F.struct(F.col("target_type").alias("t"), F.col("target_id").alias("entity_id"))))).alias("e")).select("e.*")
-    counts = ends.where("t = 'entity'").groupBy("entity_id").agg(F.count("*").alias("connection_count"))
+    source, target = (F.when(F.col(f"{end}_type") == "entity", F.col(f"{end}_id")) for end in ("source", "target"))
+    ends = edges.select(F.explode(F.array(source, F.when(source.isNull() | (target != source), target))).alias("entity_id"))
+    counts = ends.where("entity_id IS NOT NULL").groupBy("entity_id").agg(F.count("*").alias("connection_count"))
     return entities.select("entity_id", "entity_type", "name", "mention_count").join(counts, "entity_id", "left").fillna({"connection_count": 0})
 
 

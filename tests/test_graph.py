@@ -232,3 +232,34 @@ def test_predecessors_move_each_message_once(spark):
     assert {(r["source_id"], r["target_id"], round(r["strength"], 6)) for r in graph.overlap_edges(m, per).collect()} == want
     pairs = {(r["message_id"], r["prev_message_id"], r["prev_n"]) for r in graph.predecessors(m, 10).collect()}
     assert pairs == {(f"m{i}", f"m{j}", j + 1) for i in range(15) for j in range(max(0, i - 10), i)}
+
+
+def test_edges_within_messages_read_texts_once(spark):
+    m = _messages(spark, [("user", "@ann @bea decided to go to project Apollo"), ("assistant", "TODO: project Apollo-Two, @ann"), ("user", "nothing")])
+    per = E.merged(E.mentions(m), ["message_id"])
+    both = graph.within_message(per)
+    assert "Join" not in _plan(both)
+    assert _plan(both).count("Union") == 0
+    rows = [r.asDict() for r in per.collect()]
+    want = {("message", r["message_id"], r["entity_id"], "mentions", r["confidence"]) for r in rows}
+    for a in rows:
+        for b in rows:
+            if a["message_id"] == b["message_id"]:
+                if a["position"] < b["position"]:
+                    want.add(("entity", a["entity_id"], b["entity_id"], "relates_to", min(a["confidence"], b["confidence"]) * 0.6))
+                if a["entity_type"] == "decision" and b["entity_type"] in ("topic", "project"):
+                    want.add(("entity", a["entity_id"], b["entity_id"], "decision_about", 0.75))
+                if a["entity_type"] == "action" and b["entity_type"] == "project":
+                    want.add(("entity", a["entity_id"], b["entity_id"], "action_item", 0.8))
+    assert {(r["source_type"], r["source_id"], r["target_id"], r["relationship_type"], r["strength"]) for r in both.collect()} == want
+    assert {"decision_about", "action_item"} <= {w[3] for w in want}
+
+
+def test_quick_trims_are_those_of_the_regular_expressions(spark):
+    from agentlake.functions import text as T
+
+    odd = [chr(c) for c in [*range(1, 0x300), *range(0x1680, 0x1690), *range(0x2000, 0x2070), 0x3000, 0xFEFF, 0x1F600]]
+    names = ["", " ", "a  b", *(x for c in odd for x in (c, f"{c}a b", f"a b{c}", f"a{c} b"))]
+    rows = spark.createDataFrame([(x,) for x in names], "t string")
+    t = F.col("t")
+    assert rows.where((T.trim_name(t) != T.trim_all(t)) | (T.squeeze_name(t) != T.squeeze(t))).count() == 0
