@@ -97,12 +97,13 @@ def mentions(messages: DataFrame, patterns: list[tuple] | None = None) -> DataFr
     return rows.withColumn("entity_id", entity_id(kind, F.col("canonical_name")))
 
 
-def merged(found: DataFrame, by: list[str] | None = None) -> DataFrame:
+def merged(found: DataFrame, by: list[str] | None = None, again: bool = False) -> DataFrame:
     """One row for each entity (of each message, with by=['message_id']): first name kept, others are aliases.
 
     By message, rows are shuffled once and by message alone, so that what is done with a
     message's entities later needs no other shuffle; positions are packed into a number,
-    as numbers are aggregated by hash and structs by sorting.
+    as numbers are aggregated by hash and structs by sorting.  ``again`` adds ``_first``
+    (where the name was found), for merged_again().
     """
     order = F.struct("created_at", "sequence_num", "message_id", "pattern_no", "match_no")
     keys = [*(by or []), "entity_id", "entity_type", "canonical_name"]
@@ -110,12 +111,20 @@ def merged(found: DataFrame, by: list[str] | None = None) -> DataFrame:
     found = found.repartition("message_id") if place else found
     out = found.groupBy(*keys).agg(
         F.min_by("name", order).alias("name"), F.count("*").alias("mention_count"), F.max("confidence").alias("confidence"),
-        F.min("created_at").alias("first_mentioned"), F.max("created_at").alias("last_mentioned"), F.array_sort(F.collect_set("name")).alias("names"), *place,
+        F.min("created_at").alias("first_mentioned"), F.max("created_at").alias("last_mentioned"), F.array_sort(F.collect_set("name")).alias("names"), *place, *([F.min(order).alias("_first")] if again else []),
     ).withColumn("aliases", F.array_except("names", F.array("name"))).drop("names")
     packed = F.col("position")
     return out.withColumn("position", F.struct(F.shiftright(packed, 32).cast("int").alias("pattern_no"), packed.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("match_no"))) if place else out
 
 
+def merged_again(rows: DataFrame) -> DataFrame:
+    """One row for each entity from merged(…, by, again=True): what merged(found) gives, without another look at the texts."""
+    return rows.groupBy("entity_id", "entity_type", "canonical_name").agg(
+        F.min_by("name", "_first").alias("name"), F.sum("mention_count").alias("mention_count"), F.max("confidence").alias("confidence"), F.min("first_mentioned").alias("first_mentioned"), F.max("last_mentioned").alias("last_mentioned"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_union("aliases", F.array("name")))))).alias("names"),
+    ).withColumn("aliases", F.array_except("names", F.array("name"))).drop("names")
+
+
 def extract(messages: DataFrame) -> DataFrame:
     return merged(mentions(messages))
 

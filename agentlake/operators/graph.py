@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import settle
 from ..functions.text import once
-from .entities import entity_id, mentions, merged, person_key
+from .entities import entity_id, mentions, merged, merged_again, person_key
 from .updates import holds_any
 
 LOOKBACK, FLOOR, WINDOW = 10, 0.5, 3_600_000
@@ -145,8 +145,8 @@ def build(messages: DataFrame, min_strength: float = FLOOR, options: Options | N
         kind = F.col("entity_type")
         found = found.withColumn("canonical_name", F.when(kind == "person", person_key(F.col("canonical_name"))).otherwise(F.col("canonical_name")))
         found = found.withColumn("entity_id", entity_id(kind, F.col("canonical_name")))
-    per_message = settle(merged(found, ["message_id"]))
-    return merged(found), detect(messages, per_message, o)
+    per_message = settle(merged(found, ["message_id"], again=True))
+    return merged_again(per_message), detect(messages, per_message, o)
 
 
 def upsert_entities(known: DataFrame, new: DataFrame) -> DataFrame:

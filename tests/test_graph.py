@@ -263,3 +263,11 @@ def test_quick_trims_are_those_of_the_regular_expressions(spark):
     rows = spark.createDataFrame([(x,) for x in names], "t string")
     t = F.col("t")
     assert rows.where((T.trim_name(t) != T.trim_all(t)) | (T.squeeze_name(t) != T.squeeze(t))).count() == 0
+
+
+def test_built_entities_come_from_one_look_at_the_texts(spark):
+    m = _messages(spark, [("user", "@Ann and @ann, project Apollo"), ("assistant", "@ANN: project  Apollo"), ("user", "@bob")])
+    found, _ = graph.build(m)
+    assert "regexp_extract_all" not in _plan(found)
+    columns = sorted(found.columns)
+    assert sorted(map(repr, found.select(columns).collect())) == sorted(map(repr, E.extract(m).select(columns).collect()))
