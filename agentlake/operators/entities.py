@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import settle
 from ..functions.text import once, squeeze_name, trim_all, trim_name
 from .updates import holds_any
 
@@ -204,6 +205,7 @@ def resolve_names(entities: DataFrame, kind: str, scope: str = "conversation_id"
 def resolve(entities: DataFrame, scope: str = "conversation_id") -> DataFrame:
     """All entities by the rules of their types: people, topics and projects are merged, the others stay as they are."""
     columns = ["entity_id", "entity_type", "canonical_name", "name", "mention_count", "confidence", "first_mentioned", "last_mentioned"]
+    entities = settle(entities.select(scope, *columns))  # else each type extracts them again
     out = entities.where(~F.col("entity_type").isin("person", "topic", "project")).select(*columns)
     out = out.unionByName(resolve_people(entities).select(*columns))
     for kind in ("topic", "project"):
