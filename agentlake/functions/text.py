@@ -39,7 +39,8 @@ def squeeze_name(name: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words without accents, in order: letters and digits of any script."""
-    plain = F.translate(F.lower(text), _ACCENTED, _PLAIN)
+    low = F.lower(text)
+    plain = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _ACCENTED, _PLAIN))  # ASCII has no accents
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 

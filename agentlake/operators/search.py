@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.porter import stem
-from ..functions.text import words
+from ..functions.text import once, words
 from .ranking import rrf
 
 K1, B, RECENCY = 1.2, 0.75, 30 * 86_400_000
@@ -73,7 +73,7 @@ def bm25(messages: DataFrame, query: str, stemmed: bool = True, known: DataFrame
     if stemmed:
         found = (vocabulary(messages, terms) if known is None else known).where(F.col("term").isin(terms)).collect()  # words of a few stems
         forms = {t: sorted(r["word"] for r in found if r["term"] == t) or [t] for t in terms}
-    counted = messages.withColumn("_words", words(F.col("content")))
+    counted = once(messages, "_words", words(F.col("content")))  # else the filter on counts cuts the text again for each term
     counted = counted.withColumns({"_length": F.size("_words"), **{f"_tf{i}": _count_of(forms[t]) for i, t in enumerate(terms)}})
     n = counted.agg(F.count("*").alias("n"), F.avg("_length").alias("mean"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"d{i}") for i in range(len(terms)))).first()
     score: Column = F.lit(0.0)

@@ -152,6 +152,7 @@ def detail_view(messages: DataFrame, edges: DataFrame, entities: DataFrame, quer
     """What lies within two steps of the best hits, nearer things and query terms first: the top ten."""
     starts = focus_view(messages, query, as_of, **options).select(F.concat(F.lit("message:"), "message_id").alias("node"))
     reached = graph.related(edges, starts, max_depth=2).groupBy("node").agg(F.min("depth").alias("depth"))
+    reached = F.broadcast(reached)  # 50 nodes of each of three starts at most, so that texts are not shuffled
     near = 1 / (F.col("depth") + 1.0)
     m = reached.join(messages, F.col("node") == F.concat(F.lit("message:"), F.col("message_id"))).select("node", F.lit("message").alias("kind"), F.col("content").alias("text"), near.alias("score"))
     e = reached.join(entities, F.col("node") == F.concat(F.lit("entity:"), F.col("entity_id"))).select("node", F.col("entity_type").alias("kind"), F.col("name").alias("text"), (near * F.col("confidence")).alias("score"))

@@ -255,6 +255,15 @@ def test_edges_within_messages_read_texts_once(spark):
     assert {"decision_about", "action_item"} <= {w[3] for w in want}
 
 
+def test_built_entities_come_from_one_look_at_the_texts(spark):
+    m = _messages(spark, [("user", "@Ann and @ann, project Apollo"), ("assistant", "@ANN: project  Apollo"), ("user", "@bob")])
+    found, _ = graph.build(m)
+    assert "regexp_extract_all" not in _plan(found)
+    columns = sorted(found.columns)
+    assert sorted(map(repr, found.select(columns).collect())) == sorted(map(repr, E.extract(m).select(columns).collect()))
+    assert _plan(E.resolve(E.merged(E.mentions(m), ["conversation_id"]))).count("regexp_extract_all") == 0
+
+
 def test_quick_trims_are_those_of_the_regular_expressions(spark):
     from agentlake.functions import text as T
 
@@ -265,9 +274,9 @@ def test_quick_trims_are_those_of_the_regular_expressions(spark):
     assert rows.where((T.trim_name(t) != T.trim_all(t)) | (T.squeeze_name(t) != T.squeeze(t))).count() == 0
 
 
-def test_built_entities_come_from_one_look_at_the_texts(spark):
-    m = _messages(spark, [("user", "@Ann and @ann, project Apollo"), ("assistant", "@ANN: project  Apollo"), ("user", "@bob")])
-    found, _ = graph.build(m)
-    assert "regexp_extract_all" not in _plan(found)
-    columns = sorted(found.columns)
-    assert sorted(map(repr, found.select(columns).collect())) == sorted(map(repr, E.extract(m).select(columns).collect()))
+def test_detail_view_does_not_shuffle_texts(spark):
+    m = _messages(spark, [("user", f"@ann the plan that {i}") for i in range(5)])
+    found, edges = graph.build(m)
+    out = summaries.detail_view(m, edges, found, "the that", 10_000_000, stemmed=False)
+    assert _plan(out).count("strategy=broadcast") == 2
+    assert out.count() > 0
