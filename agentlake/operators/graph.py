@@ -176,13 +176,17 @@ def entity_stats(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return entities.select("entity_id", "entity_type", "name", "mention_count").join(counts, "entity_id", "left").fillna({"connection_count": 0})
 
 
-def relationships(edges: DataFrame, entities: DataFrame, node: str | None = None, min_strength: float = 0.0) -> DataFrame:
-    """Edges between entities with the names of both, of one node (at either end) or of all, the strongest first."""
+def relationships(edges: DataFrame, entities: DataFrame | None, node: str | None = None, min_strength: float = 0.0) -> DataFrame:
+    """Edges between entities with the names of both, of one node (at either end) or of all, the strongest first.
+
+    Without entities there are no names, and nothing is joined: all edges between entities count.
+    """
     own = edges.where((F.col("source_type") == "entity") & (F.col("target_type") == "entity") & (F.col("strength") >= min_strength))
     own = own if node is None else own.where((F.col("source_id") == node) | (F.col("target_id") == node))
-    for end in ("source", "target"):
+    names = [] if entities is None else ["source_name", "target_name"]
+    for end in ("source", "target") if names else ():
         own = own.join(entities.select(F.col("entity_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name")), f"{end}_id")
-    return own.select("source_id", "source_name", "relationship_type", "target_id", "target_name", "strength").orderBy(F.desc("strength"), "source_id", "target_id")
+    return own.select("source_id", *names[:1], "relationship_type", "target_id", *names[1:], "strength").orderBy(F.desc("strength"), "source_id", "target_id")
 
 
 def node_data(nodes: DataFrame, messages: DataFrame, entities: DataFrame) -> DataFrame:

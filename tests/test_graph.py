@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from agentlake.operators import entities as E
 from agentlake.operators import graph, preferences, summaries, updates, vectors
 from agentlake.streaming import queues
 
+CHATS = Path("/root/testdata/sf0.001")
 M = "message_id string, conversation_id string, role string, content string, tokens long, sequence_num int, created_at long"
 
 
@@ -280,3 +283,19 @@ def test_detail_view_does_not_shuffle_texts(spark):
     out = summaries.detail_view(m, edges, found, "the that", 10_000_000, stemmed=False)
     assert _plan(out).count("strategy=broadcast") == 2
     assert out.count() > 0
+
+
+@pytest.mark.skipif(not CHATS.exists(), reason="the test tables are not here")
+def test_relationships_without_names_read_texts_once(spark):
+    from agentlake.plans import graph_queries, registry  # noqa: F401
+
+    plan = _plan(registry.QUERIES["graph_relationships"](spark, str(CHATS)))
+    assert (plan.count("parquet"), plan.count("Join")) == (1, 0)
+    assert 0 < plan.index("Sort") < plan.index("RepartitionByExpression [source_id") < plan.index("Generate")
+    m = _messages(spark, [("user", "@ann @bea decided to go to project Apollo"), ("assistant", "TODO: project Apollo-Two, @ann")])
+    found, edges = graph.build(m)
+    named, plain = graph.relationships(edges, found, None, 0.5), graph.relationships(edges, None, None, 0.5)
+    assert {"source_name", "target_name"} <= set(named.columns)
+    assert plain.collect() == named.drop("source_name", "target_name").collect() != []
+    strengths = [r["strength"] for r in plain.collect()]
+    assert strengths == sorted(strengths, reverse=True)
