@@ -74,6 +74,11 @@ def entity_id(kind: Column, canonical: Column) -> Column:
     return F.concat(kind, F.lit("_"), F.substring(F.sha2(F.concat(kind, F.lit(":"), canonical), 256), 1, 16))
 
 
+def type_of(entity: Column) -> Column:
+    """The type that an id of entity_id() begins with."""
+    return F.substring(entity, F.lit(1), F.length(entity) - 17)
+
+
 def pattern_table(patterns: list[tuple] | None = None) -> list[dict[str, object]]:
     return [{"type": t, "confidence": c, "pattern": p} for t, c, p, *_ in patterns or PATTERNS]
 

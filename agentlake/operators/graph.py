@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import settle
 from ..functions.text import once
-from .entities import entity_id, mentions, merged, merged_again, person_key
+from .entities import entity_id, mentions, merged, merged_again, person_key, type_of
 from .updates import holds_any
 
 LOOKBACK, FLOOR, WINDOW = 10, 0.5, 3_600_000
@@ -273,9 +273,19 @@ def centrality(edges: DataFrame, entities: DataFrame, limit: int | None = 20) ->
     return out if limit is None else out.limit(limit)
 
 
-def graph_stats(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    one = entities.agg(F.count("*").alias("entities"), *(F.count_if(F.col("entity_type") == t).alias(f"{t}s") for t in ("person", "topic", "decision", "action", "question", "project")))
-    return one.crossJoin(edges.agg(F.count("*").alias("edges"), F.avg("strength").alias("mean_strength")))
+def graph_stats(entities: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """Entities by type, edges and their mean strength.
+
+    Without entities, those that messages mention by the edges are counted, in the same look at the edges.
+    """
+    by_type = lambda kind: [F.count_if(kind == t).alias(f"{t}s") for t in ("person", "topic", "decision", "action", "question", "project")]
+    if entities is not None:
+        one = entities.agg(F.count("*").alias("entities"), *by_type(F.col("entity_type")))
+        return one.crossJoin(edges.agg(F.count("*").alias("edges"), F.avg("strength").alias("mean_strength")))
+    mentioned = F.when((F.col("relationship_type") == "mentions") & (F.col("target_type") == "entity"), F.col("target_id"))
+    own = edges.groupBy(mentioned.alias("entity_id")).agg(F.count("*").alias("_edges"), F.count("strength").alias("_known"), F.sum("strength").alias("_sum"))
+    number, mean = F.coalesce(F.sum("_edges"), F.lit(0)), F.try_divide(F.sum("_sum"), F.sum("_known"))
+    return own.agg(F.count("entity_id").alias("entities"), *by_type(type_of(F.col("entity_id"))), number.alias("edges"), mean.alias("mean_strength"))
 
 
 def recent_activity(found: DataFrame, as_of: int, hours: int = 24) -> DataFrame:

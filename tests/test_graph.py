@@ -299,3 +299,20 @@ def test_relationships_without_names_read_texts_once(spark):
     assert plain.collect() == named.drop("source_name", "target_name").collect() != []
     strengths = [r["strength"] for r in plain.collect()]
     assert strengths == sorted(strengths, reverse=True)
+
+
+@pytest.mark.skipif(not CHATS.exists(), reason="the test tables are not here")
+def test_graph_stats_from_edges_read_texts_once(spark):
+    from agentlake.plans import graph_queries, registry  # noqa: F401
+
+    plan = _plan(registry.QUERIES["graph_stats"](spark, str(CHATS)))
+    assert (plan.count("parquet"), plan.count("Join")) == (1, 0)
+    found = E.mentions(_messages(spark, [("user", "@ann @bea decided to go to project Apollo"), ("assistant", "TODO: project Apollo-Two, @ann"), ("user", "#infra, how do we ship this?")]))
+    edges = graph.within_message(E.merged(found, ["message_id"]))
+    one, two = graph.graph_stats(E.merged(found), edges), graph.graph_stats(None, edges)
+    assert one.schema.names == two.schema.names
+    assert two.first().asDict() == pytest.approx(one.first().asDict())
+    assert min(two.first()[f"{t}s"] for t in ("person", "topic", "decision", "action", "question", "project")) > 0
+    assert two.first()["edges"] > two.first()["entities"]
+    none = edges.where("false")
+    assert graph.graph_stats(None, none).first() == graph.graph_stats(E.merged(found).where("false"), none).first()
