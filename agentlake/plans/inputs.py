@@ -53,7 +53,7 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("conversation_id"), F.element_at(F.array(*(F.lit(x) for x in LINES)), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % len(LINES) + 1).cast("int")).alias("content"))
     rows = rows.withColumn("sequence_num", (F.row_number().over(Window.partitionBy("conversation_id").orderBy("o_orderkey")) - 1).cast("int"))
-    return rows.select(F.format_string("c%d", "o_orderkey").alias("message_id"), "conversation_id", F.when(F.col("sequence_num") % 2 == 0, "user").otherwise("assistant").alias("role"), "content", token_count(F.col("content"), F.lit("gpt")).alias("tokens"), "sequence_num", (F.lit(START) + F.col("conversation_id") * 3_600_000 + F.col("sequence_num") * 25_000).alias("created_at"))
+    return rows.select(F.format_string("c%d", "o_orderkey").alias("message_id"), "conversation_id", F.when(F.col("sequence_num") % 2 == 0, "user").otherwise("assistant").alias("role"), "content", token_count(F.col("content"), F.lit("gpt")).alias("tokens"), "sequence_num", (F.lit(START) + F.col("conversation_id") * 3_600_000 + F.col("sequence_num").cast("long") * 25_000).alias("created_at"))
 
 
 _LINE_LIST = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in LINES) + "]"

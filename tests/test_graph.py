@@ -316,3 +316,12 @@ def test_graph_stats_from_edges_read_texts_once(spark):
     assert two.first()["edges"] > two.first()["entities"]
     none = edges.where("false")
     assert graph.graph_stats(None, none).first() == graph.graph_stats(E.merged(found).where("false"), none).first()
+
+
+def test_times_of_long_chats_do_not_overflow(spark, tmp_path):
+    from agentlake.plans import inputs
+
+    orders = spark.range(90_000).select(F.col("id").alias("o_orderkey"), F.lit(7).cast("long").alias("o_custkey"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    last = inputs.chats(spark, str(tmp_path)).agg(F.max("created_at")).first()[0]
+    assert last == inputs.START + 7 * 3_600_000 + 89_999 * 25_000
